@@ -17,8 +17,34 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_to_weights(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    from pressloom.llm.bpe import bpe_digests
+
+    return bpe_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pressloom.llm.chat import chat_digests, format_chats
+
+    said = "</s>[INST] ok [/INST]"
+    chats = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], chats.schema)
+    return chat_digests(format_chats(chats.unionByName(extra)))
+
+
+def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pressloom.llm.mtree import top_k
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return top_k(vectors, vectors.where("vec_id % 100 = 0"), k=10)
+
+
 def queries() -> dict:
     return {
+        "op3_bpe": op3_bpe,
+        "op7_chat_format": op7_chat_format,
+        "op8_exact_top_k": op8_exact_top_k,
         "op4_mix_sources": op4_mix_sources,
     }
 
