@@ -32,7 +32,7 @@ from tokenizers import Tokenizer
 CACHE_WORDS = 300_000
 SLICE_CHARS = 1 << 20
 NONE = np.int64(1) << 62
-WHITE = r"\t-\r \x85\xa0  -     　"
+WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 RARE = regex.compile(r"[^\x00-\u024f\u0391-\u03c9\u0400-\u045f\u2010-\u2027\u2030-\u205e\u20ac\u2122\u3000-\u3002\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3\uff01-\uff5e]").search
 
 

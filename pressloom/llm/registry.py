@@ -40,11 +40,18 @@ def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(vectors, vectors.where("vec_id % 100 = 0"), k=10)
 
 
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pressloom.llm.minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
+
+
 def queries() -> dict:
     return {
         "op3_bpe": op3_bpe,
         "op7_chat_format": op7_chat_format,
         "op8_exact_top_k": op8_exact_top_k,
+        "op10_near_duplicates": op10_near_duplicates,
         "op4_mix_sources": op4_mix_sources,
     }
 

@@ -106,7 +106,33 @@ SELECT conv_id, count(*) AS n_turns,
 FROM escaped GROUP BY conv_id
 """
 
+OP10 = """
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w
+  FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s
+  FROM words),
+items AS (
+  SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
+common AS (
+  SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c, any_value(a.n) AS nu, any_value(b.n) AS nv
+  FROM items a JOIN items b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+edges AS (
+  SELECT u, v FROM common WHERE 100 * c >= 80 * (nu + nv - c)),
+both_ways AS (
+  SELECT u, v FROM edges UNION ALL SELECT v, u FROM edges),
+reach AS (
+  SELECT doc_id AS node, doc_id AS root FROM sets
+  UNION SELECT b.v, r.root FROM reach r JOIN both_ways b ON b.u = r.node)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, min(r.root) AS component_id, s.doc_id = min(r.root) AS kept
+FROM sets s JOIN reach r ON r.node = s.doc_id GROUP BY s.doc_id, s.s
+"""
+
 ORACLES = {
+    "op10_near_duplicates": OP10,
     "op7_chat_format": OP7,
     "op8_exact_top_k": OP8,
     "op4_mix_sources": OP4,
