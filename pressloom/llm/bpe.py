@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -224,7 +225,7 @@ def codec(path: str) -> WordBpe:
 def text_slices(batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, int, list[str]]]:
     """(from, to, texts) of rows that hold about SLICE_CHARS characters together; null is empty."""
     texts = batch.column(column)
-    sizes = np.cumsum(pa.compute.fill_null(pa.compute.utf8_length(texts), 0).to_numpy(zero_copy_only=False))
+    sizes = np.cumsum(pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False))
     at = 0
     while at < len(texts):
         base = sizes[at - 1] if at else 0
