@@ -19,4 +19,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 def durable(df: DataFrame) -> DataFrame:
     """The same rows, read back from the shared checkpoint folder."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    # Shuffle files of finished steps go as soon as the driver forgets their plans.
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out

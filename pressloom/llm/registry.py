@@ -24,6 +24,12 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pressloom.llm.suffix import dedup_digests
+
+    return dedup_digests(table(spark, sf_dir, "documents"))
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pressloom.llm.chat import chat_digests, format_chats
 
@@ -49,6 +55,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op3_bpe": op3_bpe,
+        "op5_suffix_dedup": op5_suffix_dedup,
         "op7_chat_format": op7_chat_format,
         "op8_exact_top_k": op8_exact_top_k,
         "op10_near_duplicates": op10_near_duplicates,
