@@ -41,6 +41,12 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_digests(table(spark, sf_dir, "documents"))
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pressloom.llm.sketch import fingerprint_edits
+
+    return fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pressloom.llm.chat import chat_digests, format_chats
 
@@ -68,6 +74,7 @@ def queries() -> dict:
         "op2_toxicity": op2_toxicity,
         "op3_bpe": op3_bpe,
         "op5_suffix_dedup": op5_suffix_dedup,
+        "op6_fingerprints": op6_fingerprints,
         "op7_chat_format": op7_chat_format,
         "op8_exact_top_k": op8_exact_top_k,
         "op10_near_duplicates": op10_near_duplicates,
