@@ -69,6 +69,12 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
     return {
         "op2_toxicity": op2_toxicity,
@@ -78,6 +84,7 @@ def queries() -> dict:
         "op7_chat_format": op7_chat_format,
         "op8_exact_top_k": op8_exact_top_k,
         "op10_near_duplicates": op10_near_duplicates,
+        "pipeline": pipeline,
         "op4_mix_sources": op4_mix_sources,
     }
 

@@ -12,8 +12,9 @@ by name (Spark's shuffles) brings equal suffixes together wherever they are.
    name met twice is done as well (all of its windows repeat).
 3. Only q-gram buckets with several different stretches are refined further: each
    different stretch is read once, its window names are made from the bucket names
-   of later offsets (q-gram names at doubling offsets up to ``length``), and windows
-   whose name is met twice repeat.
+   of later offsets (doubling up to ``length``), and windows whose name is met twice
+   repeat.  A bucket of up to BUCKET_ROWS stretches is refined in one task; the
+   windows of a larger one are dealt out by their names.
 
 Repeated windows become byte ranges per document and the bytes they cover go.
 
@@ -37,6 +38,7 @@ from pressloom.llm.columns import Prefix, flat, mix, slices
 from pressloom.llm.durable import durable
 
 GRAM = 32
+BUCKET_ROWS = 512
 
 
 def _gram_names(data: np.ndarray, gram: int, sums: Prefix) -> np.ndarray:
@@ -122,31 +124,96 @@ def _runs(length: int):
     return run
 
 
-def _windows(length: int):
-    """Window names of the runs asked for: one row per window."""
+def _cut_stretches(length: int):
+    """The bytes of the stretches asked for: one row each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, asked = batch.column("text"), batch.column("asked")
             for i in range(batch.num_rows):
                 data, _ = flat(texts.slice(i, 1))
-                out = []
-                for r in asked[i].as_py():
-                    lo, n = r["span"] >> 16, r["span"] & 0xFFFF
-                    names = window_names(data[lo : lo + n + length], length)
-                    out.append((r["gram"], r["stretch"], r["many"], np.arange(len(names)), names.view(np.int64)))
-                n = [len(o[4]) for o in out]
+                rows = asked[i].as_py()
+                body = [data[(r["span"] >> 16) : (r["span"] >> 16) + (r["span"] & 0xFFFF) + length].tobytes() for r in rows]
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        *(pa.array(np.repeat(np.array([o[k] for o in out], np.int64), n)) for k in range(3)),
-                        pa.array(np.concatenate([o[3] for o in out]).astype(np.int32)), pa.array(np.concatenate([o[4] for o in out])),
-                    ],
-                    names=["gram", "stretch", "many", "step", "window"],
+                    [*(pa.array([r[c] for r in rows], pa.int64()) for c in ("gram", "stretch", "many", "kinds")), pa.array(body, pa.binary())],
+                    names=["gram", "stretch", "many", "kinds", "body"],
                 )
 
     return run
 
 
+def _named_windows(table: pa.Table, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Name (with its q-gram bucket mixed in), row and step of every window of the stretches in table."""
+    bodies = table["body"].combine_chunks().cast(pa.large_binary())
+    _, offsets, data = bodies.buffers()
+    offsets = np.frombuffer(offsets, np.int64, len(bodies) + 1, bodies.offset * 8)
+    data = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]]
+    offsets = offsets - offsets[0]
+    names = window_names(data, length)
+    n = np.diff(offsets) - length + 1
+    row = np.repeat(np.arange(len(n)), n)
+    step = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    gram = table["gram"].to_numpy().view(np.uint64)
+    return mix(names[offsets[:-1][row] + step] ^ gram[row]), row, step
+
+
+def _steps_in_task(length: int):
+    """Repeated windows of rows sorted by q-gram bucket; a bucket that a batch cuts waits for the next batch."""
+
+    def resolve(table: pa.Table) -> pa.RecordBatch:
+        name, row, step = _named_windows(table, length)
+        many = table["many"].to_numpy()
+        _, back = np.unique(name, return_inverse=True)
+        twice = (np.bincount(back, many[row]) > 1)[back] & (many[row] == 1)
+        n = np.bincount(row[twice], minlength=len(table))
+        found = np.flatnonzero(n)
+        offsets = np.r_[0, np.cumsum(n[found])].astype(np.int32)
+        return pa.RecordBatch.from_arrays(
+            [table["gram"].combine_chunks().take(pa.array(found)), table["stretch"].combine_chunks().take(pa.array(found)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(step[twice].astype(np.int32)))],
+            names=["gram", "stretch", "steps"],
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = pa.concat_tables([waiting, table]) if waiting is not None else table
+            if not len(table):
+                continue
+            gram = table["gram"].to_numpy()
+            cut = int(np.searchsorted(gram, gram[-1]))
+            for a, b in _groups(gram[:cut], 4096):
+                yield resolve(table.slice(a, b - a))
+            waiting = table.slice(cut)
+        if waiting is not None and len(waiting):
+            yield resolve(waiting)
+
+    return run
+
+
+def _groups(sorted_keys: np.ndarray, rows: int) -> Iterator[tuple[int, int]]:
+    """Ranges of about so many rows that cut no key."""
+    at = 0
+    while at < len(sorted_keys):
+        to = len(sorted_keys) if at + rows >= len(sorted_keys) else int(np.searchsorted(sorted_keys, sorted_keys[at + rows], side="right"))
+        yield at, to
+        at = to
+
+
+def _windows(length: int):
+    """Window names as rows, for q-gram buckets too large for one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 4096):
+                table = pa.Table.from_batches([batch.slice(a, 4096)])
+                name, row, step = _named_windows(table, length)
+                columns = [pa.array(table[c].to_numpy()[row]) for c in ("gram", "stretch", "many")]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(step.astype(np.int32)), pa.array(name.view(np.int64))], names=["gram", "stretch", "many", "step", "window"])
+
+    return run
+
+
 def _covered(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Union of byte ranges: sorted, touching ones joined."""
     order = np.argsort(starts, kind="stable")
@@ -169,16 +236,21 @@ def repeated_ranges(docs: DataFrame, *, key_col: str, text_col: str = "text", le
     )
 
     # Different stretches of one q-gram bucket: read each once and compare their windows.
-    asked = stretches.where("mixed").select("at.*", "gram", "stretch", "many")
-    asked = asked.groupBy("key").agg(F.collect_list(F.struct("span", "gram", "stretch", "many")).alias("asked"))
-    windows = texts.join(asked, "key").select("text", "asked").mapInArrow(_windows(length), "gram long, stretch long, many long, step int, window long")
-    windows = durable(windows)
-    twice = windows.groupBy("gram", "window").agg(F.sum("many").alias("n")).where("n > 1").select("gram", "window")
-    partly = (
-        windows.where("many = 1").join(twice, ["gram", "window"]).groupBy("gram", "stretch")
-        .agg(F.array_sort(F.collect_list("step")).alias("steps"))  # at most length steps a stretch
-    )
-    hits = stretches.where("many > 1").select("gram", "stretch", F.lit(None).cast("array<int>").alias("steps")).union(partly.select("gram", "stretch", "steps"))
+    kinds = stretches.where("mixed").groupBy("gram").agg(F.count("*").alias("kinds"))
+    asked = stretches.where("mixed").join(kinds, "gram").select("at.*", "gram", "stretch", "many", "kinds")
+    asked = asked.groupBy("key").agg(F.collect_list(F.struct("span", "gram", "stretch", "many", "kinds")).alias("asked"))  # one text's own
+    bodies = texts.join(asked, "key").select("text", "asked").mapInArrow(_cut_stretches(length), "gram long, stretch long, many long, kinds long, body binary")
+    bodies = durable(bodies)
+    schema = "gram long, stretch long, steps array<int>"
+    small = bodies.where(F.col("kinds") <= BUCKET_ROWS).select("gram", "stretch", "many", "body")
+    partly = small.repartition("gram").sortWithinPartitions("gram").mapInArrow(_steps_in_task(length), schema)
+    large = bodies.where(F.col("kinds") > BUCKET_ROWS)
+    if not large.isEmpty():  # a very common passage: its windows are dealt by their own names
+        windows = durable(large.mapInArrow(_windows(length), "gram long, stretch long, many long, step int, window long"))
+        twice = windows.groupBy("gram", "window").agg(F.sum("many").alias("n")).where("n > 1").select("gram", "window")
+        steps = windows.where("many = 1").join(twice, ["gram", "window"]).groupBy("gram", "stretch").agg(F.collect_list("step").alias("steps"))
+        partly = partly.union(steps)  # at most length steps a stretch
+    hits = stretches.where("many > 1").select("gram", "stretch", F.lit(None).cast("array<int>").alias("steps")).union(partly)
     found = runs.join(hits, ["gram", "stretch"]).select("key", "span", "steps")
 
     def join_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
