@@ -63,6 +63,15 @@ def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(vectors, vectors.where("vec_id % 100 = 0"), k=10)
 
 
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from pressloom.llm.extract import extract, train_labeller
+
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return extract(pages, train_labeller()).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pressloom.llm.minhash import near_duplicates
 
@@ -83,6 +92,7 @@ def queries() -> dict:
         "op6_fingerprints": op6_fingerprints,
         "op7_chat_format": op7_chat_format,
         "op8_exact_top_k": op8_exact_top_k,
+        "op9_main_text": op9_main_text,
         "op10_near_duplicates": op10_near_duplicates,
         "pipeline": pipeline,
         "op4_mix_sources": op4_mix_sources,
