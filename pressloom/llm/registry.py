@@ -17,6 +17,12 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_to_weights(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pressloom.llm.lm import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -86,6 +92,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_lm_score": op1_lm_score,
         "op2_toxicity": op2_toxicity,
         "op3_bpe": op3_bpe,
         "op5_suffix_dedup": op5_suffix_dedup,
