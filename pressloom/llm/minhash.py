@@ -4,9 +4,11 @@ Each text's distinct shingle hashes fall into ``bins`` bins by their high bits;
 bin keeps its minimum, and an empty bin borrows from the first filled bin of its own
 fixed random order (optimal densification).  Bands of ``rows`` bins are bucket keys.
 Texts with equal shingle sets are one member.  A bucket offers star-shaped candidate
-edges, every member to a centre; only buckets whose members are still in different
-components get more centres, twice as many a round, until every pair across
-components has been offered.  All links are confirmed on the full sets.
+edges, every member to the smallest, so pairs stay linear in its size.  Each edge is
+confirmed on the full sets and leaves the codes in which the member differs from the
+centre; from these few codes the members of a star that are not linked to the centre
+are compared exactly with the others, in blocks of bounded size, and at most one link
+a member leaves.  No bucket-mate is missed, whatever it shares with the centre.
 
 With 32 bands of 4 rows a pair of similarity 0.8 shares no bucket with a chance of
 about 5e-8.
@@ -88,14 +90,65 @@ def _sets(width: int):
     return run
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (u, v) whose full shingle sets are similar enough."""
+def _compared(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """Pairs (u, v) with both set sizes, how many of u's shingles v lacks, and the codes in which they differ."""
     needed = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct()
     sets = durable(texts.join(needed, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_sets(width), "id long, codes array<long>"))
     a = sets.select(F.col("id").alias("u"), F.col("codes").alias("cu"))
     b = sets.select(F.col("id").alias("v"), F.col("codes").alias("cv"))
-    both = pairs.join(a, "u").join(b, "v").select("u", "v", F.size("cu").alias("nu"), F.size("cv").alias("nv"), F.size(F.array_intersect("cu", "cv")).alias("common"))
-    return both.where(f"100 * common >= {percent} * (nu + nv - common)").select("u", "v")
+    both = pairs.join(a, "u").join(b, "v").select("u", "v", F.size("cu").alias("nu"), F.size("cv").alias("nv"), F.array_except("cu", "cv").alias("lacks"), F.array_except("cv", "cu").alias("adds"))
+    return both.select("u", "v", "nu", "nv", F.size("lacks").alias("lacking"), F.concat("lacks", "adds").alias("codes"))
+
+
+def _star_links(percent: int):
+    """Links within two blocks of a star's members, from their differences to the centre.
+
+    Members u and v share n - lacking(u) - lacking(v) + |codes(u) and codes(v)| shingles, n the
+    centre's number.  Pairs that are connected already are skipped; at most one link a member leaves.
+    """
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        centre, first, second = (k.as_py() for k in key)
+        table = table.sort_by("v")
+        v, n, lacking = (table[c].to_numpy().astype(np.int64) for c in ("v", "nv", "lacking"))
+        block, size = table["block"].to_numpy(), int(table["nu"][0].as_py())
+        codes = table["codes"].combine_chunks()
+        bounds, values = codes.offsets.to_numpy().astype(np.int64), codes.values.to_numpy()
+        bounds = bounds - bounds[0]
+        _, feature = np.unique(values, return_inverse=True)
+        holder = np.repeat(np.arange(len(v)), np.diff(bounds))
+        order = np.argsort(feature, kind="stable")
+        holder = holder[order]
+        start = np.r_[0, np.cumsum(np.bincount(feature))]
+        common = size - lacking
+        linked = 100 * common >= percent * (size + n - common)
+        group = np.where(linked, -1, np.arange(len(v)))
+        out_u, out_v = [], []
+        for i in np.flatnonzero(~linked).tolist():
+            other = (group != group[i]) & ((block != block[i]) if first != second else True)
+            f = feature[bounds[i] : bounds[i + 1]]
+            take = start[f + 1] - start[f]
+            at = np.repeat(start[f] - (np.cumsum(take) - take), take) + np.arange(take.sum())
+            both = size - lacking[i] - lacking + np.bincount(holder[at], minlength=len(v))
+            for j in np.flatnonzero(other & (100 * both >= percent * (n[i] + n - both))).tolist():
+                if group[i] != group[j]:
+                    out_u.append(min(v[i], v[j]))
+                    out_v.append(max(v[i], v[j]))
+                    group[group == group[i]] = group[j]
+        return pa.table([pa.array(out_u, pa.int64()), pa.array(out_v, pa.int64())], names=["u", "v"])
+
+    return run
+
+
+def _star_member_links(stars: DataFrame, percent: int, block_rows: int = 4096) -> DataFrame:
+    """Links between the members of each star; a star of many members is dealt in pairs of blocks."""
+    sizes = stars.groupBy("u").agg(F.count("*").alias("members")).where("members > 1")
+    sizes = sizes.select("u", (1 + F.floor(F.col("members") / block_rows)).cast("int").alias("blocks"))
+    dealt = stars.join(sizes, "u").withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.withColumns({"first": F.least("block", "other"), "second": F.greatest("block", "other")})
+    columns = ["u", "first", "second", "block", "v", "nu", "nv", "lacking", "codes"]
+    return dealt.select(*columns).groupBy("u", "first", "second").applyInArrow(_star_links(percent), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -106,41 +159,13 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     # Equal sets are one member, named by its smallest id.
     reps = durable(with_id.groupBy("fp1", "fp2", "n").agg(F.min("id").alias("rep"), F.first("bands").alias("bands")))
     spread = reps.select("rep", "n", F.explode("bands").alias("bucket"))
-    shared = spread.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    members = durable(spread.join(shared, "bucket").select("bucket", "size", "rep", "n"))
+    shared = spread.groupBy("bucket").agg(F.count("*").alias("size"), F.min("rep").alias("centre")).where("size > 1")
     texts = texts.where("id IS NOT NULL")
-
-    def similar_sizes(df: DataFrame) -> DataFrame:
-        return df.where(f"100 * least(nu, nv) >= {percent} * greatest(nu, nv)")
-
-    def named(df: DataFrame, node: str, size: str) -> DataFrame:
-        return df.select("bucket", F.col("rep").alias(node), F.col("n").alias(size), *(["label"] if "label" in df.columns else []))
-
-    # First round: one centre a bucket.
-    centre = members.groupBy("bucket").agg(F.min(F.struct("rep", "n")).alias("c")).select("bucket", "c.*")
-    offered = similar_sizes(named(members, "v", "nv").join(named(centre, "u", "nu"), "bucket").where("u < v"))
-    links = durable(_confirmed(durable(offered.select("u", "v").distinct()), texts, width, percent))
-    roots = components(links)
-    step = 0
-    while True:
-        # Members of buckets that still hold different components; a bucket of 2^k members has k more rounds.
-        labelled = members.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("root", "rep")).drop("root")
-        open_ = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
-        left = durable(labelled.join(open_, "bucket").withColumn("turn", F.floor(F.log2("size")).cast("int") - step).where("turn >= 0"))
-        if left.isEmpty():
-            break
-        # A member is a centre if the low bits of its hash are 0: about 2^step centres a bucket, in the end all.
-        centres = left.where(F.expr("pmod(xxhash64(rep, bucket), 1L << turn) = 0"))
-        u = named(centres, "u", "nu").withColumnRenamed("label", "lu")
-        v = named(left, "v", "nv").withColumnRenamed("label", "lv")
-        offered = similar_sizes(u.join(v, "bucket").where("lu <> lv"))
-        offered = durable(offered.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-        if not offered.isEmpty():
-            more = durable(_confirmed(offered, texts, width, percent))
-            if not more.isEmpty():
-                links = durable(links.union(more))
-                roots = components(links)
-        step += 1
+    centred = spread.join(shared, "bucket").select(F.col("centre").alias("u"), F.col("rep").alias("v")).where("u <> v").distinct()
+    stars = durable(_compared(durable(centred), texts, width))
+    common = F.col("nu") - F.col("lacking")
+    links = stars.where(100 * common >= percent * (F.col("nu") + F.col("nv") - common)).select("u", "v")
+    roots = components(links.union(_star_member_links(stars, percent)))
 
     labels = reps.select("fp1", "fp2", "n", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
     labels = labels.select("fp1", "fp2", "n", F.coalesce("root", "rep").alias("component"))
