@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,10 +17,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="pressloom-checkpoint-"))
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete shuffle files and checkpoints of plans that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def durable(df: DataFrame) -> DataFrame:
     """The same rows, read back from the shared checkpoint folder."""
     ensure_checkpoint_dir(df.sparkSession)
-    out = df.checkpoint(eager=True)
-    # Shuffle files of finished steps go as soon as the driver forgets their plans.
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return out
+    release(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -35,10 +35,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pressloom.llm.columns import Prefix, flat, mix, slices
-from pressloom.llm.durable import durable
+from pressloom.llm.durable import durable, release
 
 GRAM = 32
-BUCKET_ROWS = 512
+BUCKET_ROWS = 16384
 
 
 def _gram_names(data: np.ndarray, gram: int, sums: Prefix) -> np.ndarray:
@@ -230,6 +230,7 @@ def repeated_ranges(docs: DataFrame, *, key_col: str, text_col: str = "text", le
     runs = texts.mapInArrow(_runs(length), "key long, span long, gram long, stretch long")
     grams = runs.groupBy("gram").agg(F.count("*").alias("total"), F.min("stretch").alias("lo"), F.max("stretch").alias("hi"))
     grams = grams.where("total > 1").select("gram", (F.col("lo") < F.col("hi")).alias("mixed"))
+    grams = durable(grams)  # so that the join deals both sides anew and a very common q-gram is split
     runs = durable(runs.join(grams, "gram"))
     stretches = durable(
         runs.groupBy("gram", "stretch").agg(F.count("*").alias("many"), F.first("mixed").alias("mixed"), F.min(F.struct("key", "span")).alias("at"))
@@ -269,10 +270,8 @@ def repeated_ranges(docs: DataFrame, *, key_col: str, text_col: str = "text", le
                 ends.append(e)
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(starts, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int64()))], names=["key", "starts", "ends"])
 
-    return (
-        found.groupBy("key").agg(F.collect_list(F.struct("span", "steps")).alias("ranges"))  # one text's own runs
-        .mapInArrow(join_up, "key long, starts array<long>, ends array<long>")
-    )
+    ranges = found.groupBy("key").agg(F.collect_list(F.struct("span", "steps")).alias("ranges"))  # one text's own runs
+    return durable(ranges.mapInArrow(join_up, "key long, starts array<long>, ends array<long>"))
 
 
 def kept_bytes(data: np.ndarray, starts, ends) -> bytes:
@@ -296,6 +295,7 @@ def dedup_digests(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     """Per document: id, n_bytes, n_removed, n_spans and the SHA-256 of the bytes kept."""
     keyed = with_row_keys(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), "doc_id")
     ranges = repeated_ranges(keyed, key_col="row_key", length=length)
+    release(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -321,6 +321,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     """The rows with repeated bytes cut from the text (undecodable remains of a split character dropped)."""
     keyed = with_row_keys(docs, id_col)
     ranges = repeated_ranges(keyed, key_col="row_key", text_col=text_col, length=length).withColumnRenamed("key", "row_key")
+    release(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
