@@ -1,11 +1,13 @@
-"""Every registered query with its DuckDB counterpart; modules of the library add to it."""
+"""Every registered query with its DuckDB counterpart."""
 
 from __future__ import annotations
 
+from pressloom.plans import queries as _news
+
 
 def queries() -> dict:
-    return {}
+    return dict(_news.QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(_news.ORACLES)

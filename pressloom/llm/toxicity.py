@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from pressloom.llm.columns import LOWER, Prefix, flat, slices
 
-BUCKET_BITS, DIM, WINDOW, GRAMS = 18, 8, 6, (3, 4, 5, 6)
+BUCKET_BITS, DIM, WINDOW, GRAMS = 18, 8, 6, (3, 4, 5)
 LETTER = np.zeros(256, bool)
 LETTER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 MARK = 1  # stands before and after each word
@@ -123,11 +123,18 @@ def train(texts: list[str], toxic: np.ndarray, *, seed: int = 5, epochs: int = 1
     if not len(texts) or toxic.all() or not toxic.any():
         return ToxicModel(np.zeros(1 << BUCKET_BITS), -60.0)
     rng = np.random.Generator(np.random.PCG64(seed))
-    marked, bounds, index, of_text = words_of(pa.array(texts, pa.large_string()))
-    bucket, owner = features(marked, bounds)
-    order = np.argsort(owner, kind="stable")
-    bucket = bucket[order]
-    per_word = np.bincount(owner, minlength=len(bounds) - 1)
+    column = pa.array(texts, pa.large_string())
+    bucket, per_word, index, of_text = [], [], [], [np.zeros(1, np.int64)]
+    n_words = n_tokens = 0
+    for a, b in slices(column, 1 << 21):  # in pieces, so that memory follows the sample's n-grams and not their hashes
+        marked, bounds, words, first = words_of(column.slice(a, b - a))
+        found, owner = features(marked, bounds)
+        bucket.append(found[np.argsort(owner, kind="stable")].astype(np.int32))
+        per_word.append(np.bincount(owner, minlength=len(bounds) - 1).astype(np.int32))
+        index.append((words + n_words).astype(np.int32))
+        of_text.append(first[1:] + n_tokens)
+        n_words, n_tokens = n_words + len(bounds) - 1, n_tokens + len(words)
+    bucket, per_word, index, of_text = (np.concatenate(x) for x in (bucket, per_word, index, of_text))
     feature_at = np.r_[0, np.cumsum(per_word)]
     embed = rng.uniform(-1 / DIM, 1 / DIM, (1 << BUCKET_BITS, DIM)).astype(np.float32)
     soft = np.zeros((DIM, 2), np.float32)
@@ -169,8 +176,12 @@ def train(texts: list[str], toxic: np.ndarray, *, seed: int = 5, epochs: int = 1
 
     for epoch in range(epochs):
         chosen: list[tuple[int, tuple[int, int]]] = []
-        scalar = embed @ (soft[:, 1] - soft[:, 0])
-        sums = np.r_[0.0, np.cumsum((np.add.reduceat(scalar[bucket], feature_at[:-1]) / per_word)[index])]
+        scalar = embed @ (soft[:, 1] - soft[:, 0])  # float32
+        odds = np.empty(len(per_word), np.float32)
+        for a in range(0, len(per_word), 50_000):
+            cuts = feature_at[a : a + 50_001]
+            odds[a : a + 50_000] = np.add.reduceat(scalar[bucket[cuts[0] : cuts[-1]]], cuts[:-1] - cuts[0])
+        sums = np.r_[0.0, np.cumsum((odds / per_word)[index])]
         for i in np.flatnonzero(usable).tolist():
             if epoch < warm:  # wide bags at random: which words matter
                 windows = wide[i]
@@ -192,7 +203,7 @@ def held_out(id_col, modulus: int = 3, remainder: int = 1):
 
 
 def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-          max_toxic: int = 3000, max_clean: int = 6000, max_chars: int = 40_000) -> ToxicModel:
+          max_toxic: int = 1200, max_clean: int = 2400, max_chars: int = 12_000) -> ToxicModel:
     """A model from a bounded sample of the labelled rows that are not held out, the same on every run.
 
     At most max_toxic and max_clean rows of each label, drawn by hash, none longer than max_chars.
@@ -200,13 +211,18 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     marks = labels.where(~held_out(id_col)).where(F.col(label_col).isin(0, 1)).groupBy(id_col).agg(F.max(label_col).alias("_toxic"))
     rows = docs.select(id_col, text_col).where(F.length(text_col) <= max_chars).join(marks, id_col)
     rows = rows.select(F.col(text_col).alias("text"), "_toxic", F.xxhash64(F.col(id_col), F.lit("toxicity")).alias("_draw"))
-    texts: list[str] = []
-    toxic: list[int] = []
-    for value, most in ((1, max_toxic), (0, max_clean)):
-        got = rows.where(F.col("_toxic") == value).orderBy("_draw", "text").limit(most).select("text").toArrow()["text"].to_pylist()
-        texts += got
-        toxic += [value] * len(got)
-    return fit(texts, np.array(toxic, bool))
+    sample = [rows.where(F.col("_toxic") == value).orderBy("_draw", "text").limit(most) for value, most in ((1, max_toxic), (0, max_clean))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [r for b in batches for r in zip(b.column("_toxic").to_pylist(), b.column("_draw").to_pylist(), b.column("text").to_pylist(), strict=True)]
+        got.sort(key=lambda r: (-r[0], r[1], r[2]))
+        model = fit([t for _, _, t in got], np.array([y == 1 for y, _, _ in got], bool))
+        yield pa.RecordBatch.from_arrays([pa.array([model.odds.tobytes()], pa.binary()), pa.array([model.bias])], names=["odds", "bias"])
+
+    # The sample is bounded, so one task holds it; the model is 2^BUCKET_BITS numbers.
+    both = sample[0].union(sample[1]).select("_toxic", "_draw", "text").coalesce(1)
+    got = both.mapInArrow(run, "odds binary, bias double").first()
+    return ToxicModel(np.frombuffer(got["odds"], np.float64), got["bias"])
 
 
 def score(docs: DataFrame, model: ToxicModel, *, text_col: str = "text", score_col: str = "toxicity") -> DataFrame:
