@@ -13,7 +13,7 @@ then on each document's highest bags.  As everything after the averages is linea
 needs one number per n-gram.
 
 Defined cases: null and empty texts and texts without words score the empty bag (the softmax's
-bias); null labels and ids are not learned from; without both classes every score is 0; repeated
+bias); null labels and ids are not learned from; without both classes every score is below 1e-20; repeated
 rows repeat; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -222,6 +222,8 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     # The sample is bounded, so one task holds it; the model is 2^BUCKET_BITS numbers.
     both = sample[0].union(sample[1]).select("_toxic", "_draw", "text").coalesce(1)
     got = both.mapInArrow(run, "odds binary, bias double").first()
+    if got is None:  # no labelled rows, no task
+        return train([], np.empty(0, bool))
     return ToxicModel(np.frombuffer(got["odds"], np.float64), got["bias"])
 
 
