@@ -79,6 +79,7 @@ def mix_to_weights(
     block_words: int = 64,
     shard_words: int = 1 << 20,
     seed: str = "mix-1",
+    salts: int = 64,
 ) -> DataFrame:
     """One row per document: its id, source, size, source_size, target and the words taken."""
     key = F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("n"))
@@ -113,7 +114,10 @@ def mix_to_weights(
         sources.select("key", "source_size").repartition(1)
         .mapInPandas(plan, "key string, source_size long, target double, seats long, n_shards long")
     )
-    drawn = sized.join(planned, "key").withColumn(
+    # A source may hold a third of all rows: its one row of the plan is repeated so that its documents meet it in many tasks.
+    spread = planned.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salted = sized.withColumn("salt", F.pmod(F.xxhash64("draw", "size"), F.lit(salts)).cast("int"))
+    drawn = salted.join(spread, ["key", "salt"]).drop("salt").withColumn(
         "shard", F.conv(F.substring("draw", 1, 8), 16, 10).cast("long") % F.col("n_shards")
     )
     shards = drawn.groupBy("key", "shard").agg(F.sum("size").alias("shard_size"), F.first("seats").alias("seats"))
