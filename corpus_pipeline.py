@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pressloom.llm.apportion import WORD, mix_to_weights
+from pressloom.llm.apportion import mix_to_weights
 from pressloom.llm.bpe import encode_texts
 from pressloom.llm.durable import durable
 from pressloom.llm.minhash import near_duplicates
@@ -19,6 +19,8 @@ from pressloom.llm.toxicity import learn, score
 
 #: SQL cannot express trained scores or content hashes of this kind; tests/llm compares with brute force.
 ORACLE_SQL = None
+#: A word with the white space around it that belongs to it.
+SPACED_WORD = r"(?:\A[\x20\x09-\x0D]+)?[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,14 +42,18 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: whole copies, then one copy of its first words."""
+    """Each document as often as the mix takes it: whole copies, then one copy of the words in chosen blocks.
+
+    A word goes with the white space behind it, the first one also with the white space before it.
+    """
     keyed = with_row_keys(docs, "doc_id")
-    taken = mix_to_weights(keyed, id_col="row_key").where("taken > 0")
-    taken = taken.select(F.col("doc_id").alias("row_key"), F.expr("taken div size").alias("_copies"), F.expr("taken % size").alias("_words"))
-    copies = F.sequence(F.lit(1), F.col("_copies") + F.when(F.col("_words") > 0, 1).otherwise(0))
+    taken = mix_to_weights(keyed, id_col="row_key", chosen=True).where("taken > 0")
+    taken = taken.select(F.col("doc_id").alias("row_key"), F.col("passes").alias("_copies"), F.col("chosen").alias("_chosen"))
+    copies = F.sequence(F.lit(1), F.col("_copies") + F.when(F.size("_chosen") > 0, 1).otherwise(0))
     rows = keyed.join(taken, "row_key").withColumn("_copy", F.explode(copies))
-    first = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})"), 1), 1, F.col("_words").cast("int")), " ")
-    cut = rows.withColumn("text", F.when(F.col("_copy") > F.col("_copies"), first).otherwise(F.col("text")))
+    words = rows.withColumn("_words", F.when(F.col("_copy") > F.col("_copies"), F.regexp_extract_all("text", F.lit(SPACED_WORD), 0)))
+    pieces = F.transform("_chosen", lambda r: F.array_join(F.slice("_words", r["first"].cast("int") + 1, (r["stop"] - r["first"]).cast("int")), ""))
+    cut = words.withColumn("text", F.when(F.col("_copy") > F.col("_copies"), F.array_join(pieces, "")).otherwise(F.col("text")))
     return cut.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 

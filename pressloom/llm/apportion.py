@@ -80,8 +80,13 @@ def mix_to_weights(
     shard_words: int = 1 << 20,
     seed: str = "mix-1",
     salts: int = 64,
+    chosen: bool = False,
 ) -> DataFrame:
-    """One row per document: its id, source, size, source_size, target and the words taken."""
+    """One row per document: its id, source, size, source_size, target and the words taken.
+
+    With chosen also how these words come about: passes (whole copies) and chosen, the word ranges
+    [first, stop) of the document that lie in chosen blocks of its shard, in order.
+    """
     key = F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("n"))
     sized = durable(
         docs.select(
@@ -142,14 +147,20 @@ def mix_to_weights(
     w = Window.partitionBy("key", "shard").orderBy("draw", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     laid = drawn.join(q, ["key", "shard"]).withColumn("hi", F.sum("size").over(w)).withColumn("lo", F.col("hi") - F.col("size"))
 
+    n = lambda i: f"((({i}) + offset) * picks div blocks)"
+
     def before(x: str) -> str:
         """Words of the chosen blocks in front of word x of the shard."""
         j = f"({x} div {block_words})"
-        n = lambda i: f"((({i}) + offset) * picks div blocks)"
         return f"((({n(j)} - {n('0')}) * {block_words}) + if({n(j + ' + 1')} > {n(j)}, {x} % {block_words}, 0))"
 
     picked = F.when(F.col("blocks") > 0, F.expr(f"{before('hi')} - {before('lo')}")).otherwise(0)
+    ranges = F.expr(f"""if(size > 0 and picks > 0,
+        transform(filter(sequence(lo div {block_words}, (hi - 1) div {block_words}), j -> {n('j + 1')} > {n('j')}),
+            j -> named_struct('first', greatest(j * {block_words}, lo) - lo, 'stop', least((j + 1) * {block_words}, hi) - lo)),
+        cast(array() as array<struct<first: bigint, stop: bigint>>))""")
     return laid.select(
         "doc_id", "source", "size", "source_size", "target",
         (F.col("passes") * F.col("size") + picked).cast("long").alias("taken"),
+        *([F.col("passes").cast("long").alias("passes"), ranges.alias("chosen")] if chosen else []),
     )
