@@ -8,7 +8,8 @@ made by ``sample_page`` (a rule, not data), and sent to the tasks; its size is f
 
 Defined cases: null and empty html give an empty text; broken markup is read as far as
 it goes (unclosed tags, stray closing tags, a missing end); scripts, styles, comments and
-other raw text elements are never blocks; a page of any length is read whole; repeated rows
+other raw text elements are never blocks; math is inline text, and a noscript, template or svg
+without its end hides nothing; a page of any length and depth is read whole; repeated rows
 repeat; an empty table gives an empty result.
 """
 
@@ -29,7 +30,9 @@ BLOCK = frozenset(
     "html head body title p div section article main nav header footer aside form fieldset ul ol li dl dt dd table thead tbody tfoot tr td th caption "
     "h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption address details summary hr option select button label legend iframe video audio canvas menu dialog".split()
 )
-RAW = frozenset("script style noscript template textarea svg math".split())
+RAW = frozenset("script style noscript template textarea svg".split())
+#: Without an end tag these hide nothing: their contents are read as if the start tag stood alone.
+OPEN_ENDED = frozenset("noscript template svg".split())
 VOID = frozenset("hr br img input meta link area base col embed source track wbr".split())
 CLOSES = {  # a new element ends an open one of these
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"},
@@ -47,6 +50,7 @@ def blocks(page: str) -> list[tuple[str, tuple[str, ...], int]]:
     stack: list[tuple[str, tuple[str, ...]]] = []
     parts: list[str] = []
     linked, in_link, at, n = 0, False, 0, len(page)
+    endless: set[str] = set()  # elements that have no further end tag
 
     def flush() -> None:
         nonlocal parts, linked
@@ -76,8 +80,13 @@ def blocks(page: str) -> list[tuple[str, tuple[str, ...], int]]:
         if name in RAW and not closing:
             if m[3].endswith("/"):
                 continue
-            end = re.compile(rf"</{name}\b[^>]*(?:>|$)", re.I).search(page, at)
-            at = end.end() if end else n
+            end = None if name in endless else re.compile(rf"</{name}\b[^>]*(?:>|$)", re.I).search(page, at)
+            if end:
+                at = end.end()
+            elif name in OPEN_ENDED:
+                endless.add(name)
+            else:
+                at = n
         elif name == "br":
             parts.append(" ")
         elif name == "a":
@@ -114,7 +123,7 @@ def describe(found: list[tuple[str, tuple[str, ...], int]]) -> tuple:
     """Path buckets and their blocks, word buckets and their blocks, and the counts of each block."""
     path, path_of = [], []
     for i, (_, tokens, _) in enumerate(found):
-        for t in tokens[-24:]:
+        for t in tokens:
             b = _buckets.get(t)
             if b is None:
                 if len(_buckets) > 100_000:
