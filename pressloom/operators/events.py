@@ -14,12 +14,11 @@ from pressloom.operators.graph import components, durable, overlap_pairs
 
 
 def prepared(candidates: DataFrame) -> DataFrame:
-    """Candidates with canonical URL and token sets of title and of title with summary."""
+    """Candidates with canonical URL and the token set of the title."""
     title = X.normalize_text(F.col("title"))
     return candidates.withColumns({
         "event_url": U.canonical_event_url(F.col("url")),
         "title_tokens": F.array_distinct(X.tokenize(title)),
-        "all_tokens": F.array_distinct(X.tokenize(X.normalize_text(F.concat_ws(" ", "title", "summary")))),
     })
 
 
@@ -34,60 +33,115 @@ def static_components(rows: DataFrame) -> DataFrame:
     return rows.join(named, "ord", "left").withColumn("component", F.coalesce("component", "ord"))
 
 
+def _chosen_beat(categories: list[str], votes: dict[str, int], text: str) -> str:
+    """A03 in the fold: 1 a category, 8 a vote, 3 a keyword of its categories; ties by the fixed order."""
+    points = dict.fromkeys(categories, 1)
+    for beat, n in votes.items():
+        points[beat] = points.get(beat, 0) + 8 * n
+    for beat in categories:
+        points[beat] += 3 * sum(k in text for k in C.CATEGORY_KEYWORDS.get(beat, ()))
+    return min(points, key=lambda c: (-points[c], C.TIE_ORDER.index(c) if c in C.TIE_ORDER else -1))
+
+
+class _Event:
+    """One growing event: the first member's title and URL; latest time, voted beat and chosen summary so far."""
+
+    def __init__(self, r):
+        self.ord, self.url, self.title, self.name = r.ord, r.event_url, set(r.title_tokens), r.title_text
+        self.beat, self.at, self.categories, self.votes = r.primary_category, r.at, list(dict.fromkeys(r.categories)), {r.primary_category: 1}
+        self._speak(r)
+
+    def _speak(self, r) -> None:
+        self.voice, self.size, self.state, self.words = r.ord, r.summary_size, r.summary_status, r.summary_text
+        self.full = self.title | set(r.summary_tokens)
+
+    def takes(self, r, title: set, full: set) -> bool:
+        if self.url == r.event_url:
+            return True
+        if abs(self.at - r.at) > 86_400 or self.beat != r.primary_category or not title or not self.title:
+            return False
+        if len(title & self.title) < 0.8 * min(len(title), len(self.title)):
+            return False
+        return bool(full and self.full) and len(full & self.full) >= 0.85 * min(len(full), len(self.full))
+
+    def add(self, r) -> None:
+        self.categories = list(dict.fromkeys([*self.categories, *r.categories]))
+        self.votes[r.primary_category] = self.votes.get(r.primary_category, 0) + 1
+        # the vote reads the summary as it was before this member
+        self.beat = _chosen_beat(self.categories, self.votes, f"{self.name} {self.words}".strip())
+        keeps, yields = (self.state, r.summary_status) == ("complete", "pending"), (self.state, r.summary_status) == ("pending", "complete")
+        if yields or (not keeps and r.summary_size > self.size):
+            self._speak(r)
+        if self.state == "pending" and r.summary_status is not None or r.summary_status == "complete":
+            self.state = r.summary_status if r.summary_status == "complete" else self.state
+        self.at = max(self.at, r.at)
+
+
 def _replay(group: pd.DataFrame) -> pd.DataFrame:
-    """The greedy rule over one component in input order: a row joins the first cluster like it."""
-    leaders: list[dict] = []
+    """The greedy rule over one component in input order: a row joins the first event that takes it."""
+    events: list[_Event] = []
     by_url: dict[str, list[int]] = {}
     by_token: dict[str, list[int]] = {}
-    out = []
-    for r in group.sort_values("ord").itertuples():
-        title, full = set(r.title_tokens), set(r.all_tokens)
+    of = []
+    rows = group.sort_values("ord")
+    for r in rows.itertuples():
+        title = set(r.title_tokens)
+        full = title | set(r.summary_tokens)
         near = set(by_url.get(r.event_url, ()))
         for t in title:
             near.update(by_token.get(t, ()))
-        hit = None
-        for k in sorted(near):
-            c = leaders[k]
-            if c["url"] == r.event_url:
-                hit = k
-                break
-            if c["beat"] != r.primary_category or not title or not c["title"] or abs(c["at"] - r.at) > 86_400:
-                continue
-            if len(title & c["title"]) / min(len(title), len(c["title"])) >= 0.8 and full and c["full"] and len(full & c["full"]) / min(len(full), len(c["full"])) >= 0.85:
-                hit = k
-                break
+        hit = next((k for k in sorted(near) if events[k].takes(r, title, full)), None)
         if hit is None:
-            hit = len(leaders)
-            leaders.append({"url": r.event_url, "title": title, "full": full, "beat": r.primary_category, "at": r.at, "ord": r.ord})
+            hit = len(events)
+            events.append(_Event(r))
             by_url.setdefault(r.event_url, []).append(hit)
             for t in title:
                 by_token.setdefault(t, []).append(hit)
-        out.append((r.ord, leaders[hit]["ord"]))
-    return pd.DataFrame(out, columns=["ord", "cluster"])
+        else:
+            events[hit].add(r)
+        of.append(hit)
+    return pd.DataFrame({"ord": rows["ord"].to_numpy(), "cluster": [events[k].ord for k in of], "voice": [events[k].voice for k in of]})
 
 
 def clusters(candidates: DataFrame) -> DataFrame:
-    """ord, cluster: the leader's ord of every candidate's event.
+    """ord, cluster, voice: the first member's ord of every candidate's event, and the ord whose summary it shows.
 
-    Components come from a similarity join; single rows never reach Python.  A leader keeps its
-    title, URL, beat and time, which the rule compares.
+    Title and URL of an event stay, so components of the similarity join (title overlap or
+    URL) never share an event.  Time, beat and summary follow the members, as the rule
+    demands, so a component is folded in input order; single rows never reach Python.  A
+    component is one task: it has to fit into that task's memory.
     """
-    rows = static_components(prepared(candidates)).withColumn("at", F.coalesce(F.unix_timestamp("published_at"), F.lit(0)))
+    at = [F.unix_timestamp(c) for c in ("updated_at", "published_at", "discovered_at", "extracted_at") if c in candidates.columns]
+    state = F.col("summary_status") if "summary_status" in candidates.columns else F.lit(None)
+    rows = static_components(prepared(candidates)).select(
+        "component", "ord", "event_url", "title_tokens", "primary_category", F.coalesce(*at, F.lit(0)).alias("at"), F.coalesce("categories", F.array().cast("array<string>")).alias("categories"),
+        X.normalize_text(F.col("title")).alias("title_text"), X.normalize_text(F.col("summary")).alias("summary_text"), F.length("summary").alias("summary_size"), state.cast("string").alias("summary_status"),
+    )
     sizes = rows.groupBy("component").agg(F.count("*").alias("members"))
-    rows = rows.join(sizes, "component").select("component", "members", "ord", "event_url", "title_tokens", "all_tokens", "primary_category", "at")
-    many = rows.where("members > 1").groupBy("component").applyInPandas(_replay, "ord long, cluster long")
-    return rows.where("members = 1").select("ord", F.col("ord").alias("cluster")).union(many)
+    rows = rows.join(sizes, "component")
+    many = rows.where("members > 1").withColumn("summary_tokens", F.array_distinct(X.tokenize(F.col("summary_text"))))
+    many = many.groupBy("component").applyInPandas(_replay, "ord long, cluster long, voice long")
+    return rows.where("members = 1").select("ord", F.col("ord").alias("cluster"), F.col("ord").alias("voice")).union(many)
 
 
 def events_of(candidates: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row per event with ordered members (A02): distinct sources, URLs, votes, first and last times."""
+    """One row per event with ordered members (A02, W05): distinct sources, URLs, votes, times, the summary shown and the anchor URL.
+
+    The anchor is the first member by time and canonical URL, whatever the input order.
+    """
     rows = candidates.join(labels, "ord")
-    ordered = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("ord", F.col(c).alias("x")))), lambda s: s["x"])
-    lead = F.min(F.struct("ord", "id", "title", "summary", "url", "language")).alias("lead")
-    return rows.groupBy("cluster").agg(
-        lead, F.count("*").alias("members"), F.array_distinct(ordered("source_id")).alias("source_ids"), F.array_distinct(ordered("url")).alias("urls"),
-        ordered("primary_category").alias("votes"), F.array_distinct(F.flatten(ordered("categories"))).alias("categories"),
-        F.min("published_at").alias("published_at"), F.max("published_at").alias("updated_at"),
+    member = F.struct("ord", "source_id", "url", "primary_category", "categories")
+    lead = F.min(F.struct("ord", "id", "title", "url", "language")).alias("lead")
+    at = F.coalesce(*[F.col(c) for c in ("published_at", "discovered_at", "extracted_at") if c in candidates.columns])
+    anchor = F.min(F.struct(F.coalesce(F.unix_timestamp(at), F.lit(1 << 62)).alias("at"), U.canonical_event_url(F.col("url")).alias("url"))).alias("anchor")
+    e = rows.groupBy("cluster").agg(
+        lead, anchor, F.max(F.when(F.col("ord") == F.col("voice"), F.struct("ord", "summary"))).alias("voice"), F.count("*").alias("members"),
+        F.array_sort(F.collect_list(member)).alias("m"), F.min("published_at").alias("published_at"), F.max("published_at").alias("updated_at"),
+    )
+    of = lambda c: F.transform("m", lambda s: s[c])
+    return e.select(
+        "cluster", "lead", "anchor", F.col("voice.summary").alias("summary"), "members", F.array_distinct(of("source_id")).alias("source_ids"), F.array_distinct(of("url")).alias("urls"),
+        of("primary_category").alias("votes"), F.array_distinct(F.flatten(of("categories"))).alias("categories"), "published_at", "updated_at",
     )
 
 

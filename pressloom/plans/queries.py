@@ -224,13 +224,13 @@ def _(spark, sf):
 
 @query("candidate_merge", f"""WITH {CAND}, a AS (SELECT source_id, {T.CANDIDATE_URL} AS key, title, summary, published_at, ord FROM cand),
   x AS (SELECT source_id, key, max(title) AS title, max(summary) AS summary, min(published_at) AS d, max(published_at) AS s FROM a WHERE ord % 2 = 0 GROUP BY 1, 2),
-  y AS (SELECT source_id, key, max(title) AS title, max(summary) AS summary, min(published_at) AS d, max(published_at) AS s FROM a WHERE ord % 3 = 0 GROUP BY 1, 2)
+  y AS (SELECT source_id, key, max(title) AS title, max(summary) AS summary, min(published_at) AS d, max(published_at) AS s FROM a WHERE ord % 2 = 1 GROUP BY 1, 2)
 SELECT coalesce(y.source_id, x.source_id) AS source_id, coalesce(y.key, x.key) AS key, md5(coalesce(y.title, x.title)) AS title, md5(coalesce(y.summary, x.summary)) AS summary, least(x.d, y.d) AS discovered_at, greatest(x.s, y.s) AS last_seen_at
 FROM x FULL JOIN y ON x.source_id = y.source_id AND x.key = y.key""")
 def _(spark, sf):
     c = T.candidates(spark, sf).withColumn("key", U.canonical_candidate_url(F.col("url")))
-    half = lambda k: c.where(F.col("ord") % k == 0).groupBy("source_id", "key").agg(F.max("title").alias("title"), F.max("summary").alias("summary"), F.min("published_at").alias("discovered_at"), F.max("published_at").alias("last_seen_at"))
-    return O.upsert(half(2), half(3), ["source_id", "key"]).withColumns({"title": F.md5("title"), "summary": F.md5("summary")})
+    half = lambda k: c.where(F.col("ord") % 2 == k).groupBy("source_id", "key").agg(F.max("title").alias("title"), F.max("summary").alias("summary"), F.min("published_at").alias("discovered_at"), F.max("published_at").alias("last_seen_at"))
+    return O.upsert(half(0), half(1), ["source_id", "key"]).withColumns({"title": F.md5("title"), "summary": F.md5("summary")})
 
 
 # ---- events -------------------------------------------------------------------------------------
@@ -381,13 +381,13 @@ def _(spark, sf):
 
 @query("report_sections")
 def _(spark, sf):
-    return R.beat_sections(report(spark, sf).stories).select("primary_beat", F.size("ids").alias("stories"), F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
+    return R.beat_sections(report(spark, sf).stories)
 
 
 @query("report_quality")
 def _(spark, sf):
     r = report(spark, sf)
-    return R.quality_summary(r.stories, r.evidence)
+    return R.quality_summary(r.gated, r.stories, r.selected, T.now())
 
 
 @query("report_window", f"{BASE} SELECT min(published_at) AS window_from, max(published_at) AS window_to, count(DISTINCT source_id) AS n_sources FROM acc")

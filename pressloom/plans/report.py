@@ -29,6 +29,7 @@ class Report:
 
 def story_cards(accepted: DataFrame, labels: DataFrame, sources: DataFrame, now: Column, prefs: C.Preferences) -> tuple[DataFrame, DataFrame]:
     """Evidence rows and one scored card per event."""
+    labels = labels.select("ord", "cluster", "voice")
     evidence = accepted.join(labels, "ord").select(
         "cluster", "ord", F.col("id").alias("candidate_id"), "source_id", "url", "title", "published_at", "credibility", "media_type", "paywall",
         S.evidence_role(F.col("media_type")).alias("role"), U.host(F.col("url")).alias("independence_group"),
@@ -40,7 +41,7 @@ def story_cards(accepted: DataFrame, labels: DataFrame, sources: DataFrame, now:
     )
     per_source = evidence.select("cluster", "source_id", "credibility").distinct().groupBy("cluster").agg(F.avg(F.coalesce("credibility", F.lit(45))).alias("avg_credibility"))
     e = E.events_of(accepted, labels).join(facts, "cluster").join(per_source, "cluster")
-    e = e.select("*", "lead.title", "lead.summary", "lead.url").drop("lead")
+    e = e.select("*", "lead.title", "lead.url").drop("lead")
     text = X.normalize_text(F.concat_ws(" ", "title", "summary"))
     e = e.withColumns({"text": text, "n_sources": F.size("source_ids")})
     e = e.withColumns({
@@ -60,7 +61,7 @@ def story_cards(accepted: DataFrame, labels: DataFrame, sources: DataFrame, now:
     cards = e.withColumns({
         "tier": S.tier(F.col("impact"), F.col("total"), F.col("primary_beat")),
         "status": S.story_status(F.col("first.role"), F.col("n_evidence"), F.col("n_independent"), F.col("trust_level"), F.col("max_credibility")),
-        "story_id": E.anchor_event_id(F.col("primary_beat"), U.canonical_event_url(F.col("url"))),
+        "story_id": E.anchor_event_id(F.col("primary_beat"), F.col("anchor.url")),
         "publisher": F.col("first.source_id"), "activity": F.col("updated_at"),
     })
     return evidence, cards
@@ -130,11 +131,11 @@ def build_report(candidates: DataFrame, sources: DataFrame, now: Column, prefs:
 
 
 def beat_sections(stories: DataFrame) -> DataFrame:
-    """Every beat with the ids of its stories in rank order."""
+    """A row a story: its beat, the beat's place, and its position in rank order there; beats without stories give one row of nulls."""
     spark = stories.sparkSession
     beats = spark.createDataFrame([(b, i) for i, b in enumerate(C.CATEGORIES)], "primary_beat string, place int")
-    ids = stories.groupBy("primary_beat").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("final_score")).alias("s"), "cluster"))), lambda x: x["cluster"]).alias("ids"))
-    return beats.join(ids, "primary_beat", "left").withColumn("ids", F.coalesce("ids", F.array().cast("array<bigint>")))
+    ranked = stories.select("primary_beat", "cluster", "final_score", F.row_number().over(Window.partitionBy("primary_beat").orderBy(F.desc("final_score"), "cluster")).alias("position"))
+    return beats.join(ranked.select("primary_beat", "position", "cluster"), "primary_beat", "left")
 
 
 def coverage(candidates: DataFrame, stories: DataFrame, selected: DataFrame) -> DataFrame:
@@ -147,12 +148,22 @@ def coverage(candidates: DataFrame, stories: DataFrame, selected: DataFrame) ->
     return beats.join(a, "beat", "left").join(b, "beat", "left").join(c, "beat", "left").fillna(0)
 
 
-def quality_summary(stories: DataFrame, evidence: DataFrame) -> DataFrame:
-    """One row of quality metrics."""
-    return stories.agg(
-        F.count("*").alias("story_count"), F.sum("n_evidence").alias("candidate_count"), F.countDistinct("publisher").alias("publishers"),
-        N.ratio(F.count_if(F.col("n_independent") >= 2), F.count("*")).alias("multi_source_share"),
-        N.ratio(F.count_if(F.col("status") == "confirmed"), F.count("*")).alias("confirmed_share"),
-        N.ratio(F.count_if(F.col("published_at").isNull()), F.count("*")).alias("undated_share"),
-        N.ratio(F.count_if((F.col("n_independent") < 2) & ~(F.col("official") & (F.col("max_credibility") >= 80))), F.count("*")).alias("weak_share"),
+def quality_summary(gated: DataFrame, stories: DataFrame, selected: DataFrame, now: Column) -> DataFrame:
+    """One row of quality metrics (A08-A11); core stories are those of the must_know and important lists."""
+    counts = gated.agg(F.count("*").alias("candidate_count"), F.count_if(F.col("reject_reason").isNull()).alias("accepted_candidate_count"))
+    weak = (F.col("n_independent") <= 1) & ~(F.col("official") & (F.col("max_credibility") >= 80))
+    single = F.count_if(F.col("n_independent") <= 1)
+    all_stories = stories.agg(
+        F.count("*").alias("event_count"), single.alias("single"), F.sum("members").alias("mapped"),
+        F.count_if((F.col("activity") <= now) & (F.col("activity") >= now - F.expr("interval 24 hours"))).alias("day"), F.count_if((F.col("activity") <= now) & (F.col("activity") >= now - F.expr("interval 72 hours"))).alias("three"),
+    )
+    core = selected.where(F.col("list").isin("must_know", "important")).select("cluster", "publisher").join(stories.select("cluster", weak.alias("weak")), "cluster")
+    biggest = core.groupBy("publisher").agg(F.count("*").alias("n"), F.count_if("weak").alias("weak")).agg(F.max("n").alias("most"), F.sum("n").alias("core"), F.sum("weak").alias("weak"))
+    one = counts.join(F.broadcast(all_stories)).join(F.broadcast(biggest))  # one row each
+    accepted = F.col("accepted_candidate_count")
+    return one.select(
+        "candidate_count", accepted, (F.col("candidate_count") - accepted).alias("rejected_candidate_count"), "event_count", F.col("event_count").alias("selected_event_count"),
+        N.ratio(accepted - F.col("event_count"), accepted).alias("duplicate_event_rate"), N.ratio(F.col("single"), F.col("event_count")).alias("single_source_share"),
+        N.ratio(F.coalesce("most", F.lit(0)), F.coalesce("core", F.lit(0))).alias("max_primary_publisher_share"), N.ratio(F.coalesce("weak", F.lit(0)), F.coalesce("core", F.lit(0))).alias("weakly_sourced_core_share"),
+        F.when(F.col("day") > 0, F.col("day")).otherwise(F.col("three")).alias("latest_event_count"), (accepted - F.coalesce("mapped", F.lit(0))).alias("unmapped_candidate_count"),
     )

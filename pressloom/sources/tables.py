@@ -44,7 +44,7 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(
         i.alias("ord"), i.cast("string").alias("id"), F.col("source").alias("source_id"), F.col("lang").alias("language"),
         F.when(i % 31 == 0, "").otherwise(F.concat(first, F.when(i % 37 == 0, " sponsored").otherwise(""))).alias("title"),
-        F.when(cut > 0, F.expr("substring(text, instr(text, '\n') + 1, 400)")).otherwise("").alias("summary"),
+        F.when(cut > 0, F.expr("substring(text, instr(text, '\n') + 1)")).otherwise("").alias("summary"),
         F.concat(F.when(i % 29 == 0, "http://").otherwise("https://"), F.col("source"), F.lit(".example.com/"), path, F.lit("?id="), (i % 3).cast("string"), F.lit("&utm_source=x"), i.cast("string")).alias("url"),
         F.when(i % 17 != 0, F.expr(f"timestamp '{NOW}' - make_interval(0, 0, 0, 0, 0, cast(doc_id * 37 % 5760 as int), 0)")).alias("published_at"),
         beat.alias("primary_category"), F.array_distinct(F.array(beat, _choose(CATEGORIES, i * 7 + 3))).alias("categories"),
@@ -71,7 +71,7 @@ ORACLE_SOURCES = f"""src AS (
 ORACLE_CANDIDATES = f"""cand AS (
   SELECT doc_id AS ord, doc_id::VARCHAR AS id, source AS source_id, lang AS language,
     CASE WHEN doc_id % 31 = 0 THEN '' ELSE split_part(text, chr(10), 1) || CASE WHEN doc_id % 37 = 0 THEN ' sponsored' ELSE '' END END AS title,
-    CASE WHEN position(chr(10) IN text) > 0 THEN substr(text, position(chr(10) IN text) + 1, 400) ELSE '' END AS summary,
+    CASE WHEN position(chr(10) IN text) > 0 THEN substr(text, position(chr(10) IN text) + 1) ELSE '' END AS summary,
     CASE WHEN doc_id % 29 = 0 THEN 'http://' ELSE 'https://' END || source || '.example.com/' ||
       CASE WHEN doc_id % 23 = 0 THEN 'news' ELSE lang || '/' || substr(md5(split_part(text, chr(10), 1)), 1, 8) END ||
       '?id=' || (doc_id % 3) || '&utm_source=x' || doc_id AS url,

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import random
 
+from pressloom import config as C
 from pressloom.functions import text as X
 from pressloom.functions import urls as U
 from pressloom.operators import events as E
@@ -41,6 +42,61 @@ def test_same_url_but_tracking_is_one_event(spark):
     assert labels(spark, a, b) == {1: 1, 2: 1}
 
 
+def test_the_event_moves_with_its_members(spark):
+    days = [NOON + dt.timedelta(hours=20 * i) for i in range(3)]
+    assert labels(spark, *[article(i, *SAME, at=t) for i, t in enumerate(days)]) == {0: 0, 1: 0, 2: 0}
+
+
+def fold_by_hand(rows):
+    """The rule read off its definition: every item against every event, in order."""
+    words = lambda t: {w for w in t.split() if len(w) > 1}
+    share = lambda a, b: len(a & b) / min(len(a), len(b)) if a and b else 0.0
+    events, out = [], {}
+    for o, _, _, title, summary, url, beat, cats, _, at in rows:
+        for e in events:
+            near = abs((e["at"] - at).total_seconds()) <= 86_400 and e["beat"] == beat
+            if e["url"] == url or (near and share(words(e["title"]), words(title)) >= 0.8 and share(words(e["title"] + " " + e["summary"]), words(title + " " + summary)) >= 0.85):
+                e["votes"].append(beat)
+                e["cats"] = list(dict.fromkeys(e["cats"] + cats))
+                text = e["title"] + " " + e["summary"]
+                points = {c: 0 for c in e["cats"] + e["votes"]}
+                for c in points:
+                    points[c] = 8 * e["votes"].count(c) + (1 + 3 * sum(k in text for k in C.CATEGORY_KEYWORDS[c]) if c in e["cats"] else 0)
+                e["beat"] = sorted(points, key=lambda c: (-points[c], C.TIE_ORDER.index(c)))[0]
+                if len(summary) > len(e["summary"]):
+                    e["summary"], e["voice"] = summary, o
+                e["at"] = max(e["at"], at)
+                out[o] = e
+                break
+        else:
+            events.append({"ord": o, "url": url, "title": title, "summary": summary, "voice": o, "beat": beat, "votes": [beat], "cats": list(cats), "at": at})
+            out[o] = events[-1]
+    return {o: (e["ord"], e["voice"]) for o, e in out.items()}
+
+
+def test_clusters_equal_the_fold_on_random_items(spark):
+    rng = random.Random(11)
+    stock = ["market", "space", "music", "budget", "council", "river", "bridge", "harbour"]
+    rows = []
+    for i in range(160):
+        title = " ".join(rng.sample(stock, rng.choice([3, 4, 4, 5])))
+        summary = " ".join(rng.sample(stock, rng.choice([2, 4, 6])))
+        beat = rng.choice(["policy", "finance", "science"])
+        url = f"https://x.example/{rng.randrange(60)}" if rng.random() < 0.2 else f"https://x.example/p{i}"
+        rows.append((i, str(i), "a", title, summary, url, beat, [beat, rng.choice(["finance", "science"])] if rng.random() < 0.5 else [beat], "en", NOON + dt.timedelta(hours=rng.randrange(90))))
+    rows = [(*r[:7], list(dict.fromkeys(r[7])), *r[8:]) for r in rows]
+    got = {r.ord: (r.cluster, r.voice) for r in E.clusters(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == fold_by_hand(rows)
+    assert len({c for c, _ in got.values()}) < 150
+
+
+def test_the_anchor_does_not_follow_the_input_order(spark):
+    a, b = article(1, *SAME, url="https://x.example/b"), article(2, *SAME, url="https://x.example/a", at=NOON - dt.timedelta(hours=2))
+    for first, second in ((a, b), (b, a)):
+        rows = spark.createDataFrame([(1, *first[1:]), (2, *second[1:])], SCHEMA)
+        assert E.events_of(rows, E.clusters(rows)).first().anchor.url == "https://x.example/a"
+
+
 def test_blank_titles_do_not_meet(spark):
     assert labels(spark, article(1), article(2)) == {1: 1, 2: 2}
 
