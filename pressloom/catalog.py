@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pressloom.plans import collection as _collection  # noqa: F401  (registers its queries)
 from pressloom.plans import queries as _news
 
 

@@ -27,6 +27,20 @@ CATEGORY_KEYWORDS = {
     "entertainment": ["film", "movie", "tv", "music", "entertainment", "电影", "影视", "娱乐", "音乐"],
     "science": ["science", "research", "study", "space", "physics", "科学", "研究", "太空"],
 }
+#: Signals of a category in a text and in a URL, and the order of categories of equal score there.
+CATEGORY_SIGNALS = {
+    "ai": (["ai", "artificial intelligence", "openai", "anthropic", "claude", "chatgpt", "大模型", "人工智能", "机器学习"], [r"/ai\b", r"artificial-intelligence"]),
+    "technology": (["technology", "tech", "startup", "software", "chip", "semiconductor", "科技", "芯片", "软件", "互联网", "创业"], [r"/tech(?:nology)?\b", r"/it\b"]),
+    "finance": (["market", "stock", "bank", "finance", "economy", "inflation", "财经", "金融", "市场", "经济", "央行", "股票", "公司"], [r"/finance\b", r"/business\b", r"/cj/", r"/money/"]),
+    "international": (["world", "global", "war", "conflict", "diplomacy", "国际", "全球", "外交", "战争", "冲突", "联合国"], [r"/world\b", r"/international\b", r"/gj/"]),
+    "china": (["china", "chinese", "beijing", "中国", "国内", "北京", "全国"], [r"/china\b", r"/gn/"]),
+    "policy": (["policy", "regulation", "government", "election", "law", "政策", "监管", "政府", "选举", "法律", "部门"], [r"/politics\b", r"/policy\b"]),
+    "society": (["society", "city", "education", "health", "社会", "教育", "健康", "城市", "民生"], [r"/society\b", r"/sh/", r"/edu/", r"/health/"]),
+    "sports": (["nba", "fifa", "fiba", "basketball", "football", "soccer", "sport", "体育", "篮球", "足球", "赛事", "锦标赛"], [r"/sports?\b", r"/nba\b", r"/football\b", r"/basketball\b"]),
+    "entertainment": (["film", "movie", "tv", "music", "entertainment", "电影", "影视", "娱乐", "音乐", "剧集"], [r"/entertainment\b", r"/culture\b", r"/film\b", r"/movie\b"]),
+    "science": (["science", "research", "study", "space", "physics", "科学", "研究", "太空", "航天", "行星"], [r"/science\b", r"/space\b"]),
+}
+SIGNAL_ORDER = ["sports", "ai", "science", "technology", "finance", "international", "policy", "china", "society", "entertainment"]
 HIGH_IMPACT = [
     "war", "conflict", "election", "sanction", "rate cut", "rate hike", "inflation", "ai model", "semiconductor", "cyberattack", "regulation", "earthquake",
     "战争", "冲突", "选举", "制裁", "降息", "加息", "通胀", "大模型", "芯片", "网络攻击", "监管", "地震",

@@ -15,11 +15,12 @@ def clean(c: Column) -> Column:
 
 
 def decode(c: Column) -> Column:
-    """The named references and decimal or hexadecimal ones of the first 64 different in a text."""
-    numbers = F.slice(F.array_distinct(F.regexp_extract_all(c, F.lit(r"(&#x?[0-9A-Fa-f]+;)"), 1)), 1, 64)
-    code = lambda r: F.when(F.lower(F.substring(r, 3, 1)) == "x", F.conv(F.regexp_extract(r, r"&#[xX]([0-9A-Fa-f]+);", 1), 16, 10)).otherwise(F.regexp_extract(r, r"&#(\d+);", 1)).cast("int")
-    sign = lambda n: F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
-    out = F.aggregate(numbers, c, lambda a, r: F.replace(a, r, sign(code(r))))
+    """Named references and all decimal or hexadecimal ones (X09); what is no reference stays."""
+    pieces = F.regexp_extract_all(c, F.lit(r"(?s)(&#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});|[^&]+|&)"), 1)
+    hexadecimal, decimal = r"^&#[xX]([0-9A-Fa-f]+);$", r"^&#([0-9]+);$"
+    number = lambda p: F.when(p.rlike(hexadecimal), F.conv(F.regexp_extract(p, hexadecimal, 1), 16, 10)).otherwise(F.regexp_extract(p, decimal, 1)).try_cast("int")
+    sign = lambda n: F.when((n > 0) & (n < 0x110000) & ~n.between(0xD800, 0xDFFF), F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32"))
+    out = F.when(F.contains(c, F.lit("&#")), F.array_join(F.transform(pieces, lambda p: F.when(F.startswith(p, F.lit("&#")), F.coalesce(sign(number(p)), p)).otherwise(p)), "")).otherwise(c)
     for name, char in NAMED.items():
         out = F.replace(out, F.lit(name), F.lit(char))
     return out
@@ -63,6 +64,12 @@ def article_context(html: Column, cap: int = 3200) -> Column:
     return F.substring(F.array_join(F.array_distinct(F.concat(meta_descriptions(html), linked_data_texts(html), body)), "\n"), 1, cap)
 
 
+def title_from_url(url: Column) -> Column:
+    """The last path segment, decoded, dashes as spaces, without a file ending."""
+    last = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(?:/[^?#]*)?/([^/?#]+)/?(?:[?#].*)?$", 1)
+    return F.trim(F.regexp_replace(F.regexp_replace(F.try_url_decode(last), r"\.[A-Za-z0-9]+$", ""), r"[-_]+", " "))
+
+
 def page_format(html: Column) -> Column:
     """feed, sitemap or html."""
     return F.when(html.rlike(r"(?i)<(item|entry)\b"), "feed").when(html.rlike(r"(?i)<urlset\b"), "sitemap").otherwise("html")

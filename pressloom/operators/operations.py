@@ -126,12 +126,13 @@ def rate_limited(events: DataFrame, per_minute: int = 6) -> DataFrame:
 
 def snapshot_chain(links: DataFrame, start: int, depth: int) -> DataFrame:
     """The chain of superseded snapshots from start, at most depth long (J18): a recursive query."""
-    links.createOrReplaceTempView("_snapshot_links")
-    return links.sparkSession.sql(f"""
-        WITH RECURSIVE chain(id, previous, depth) AS (
-          SELECT id, previous, 1 FROM _snapshot_links WHERE id = {int(start)}
-          UNION ALL SELECT l.id, l.previous, c.depth + 1 FROM chain c JOIN _snapshot_links l ON l.id = c.previous WHERE c.depth < {int(depth)})
-        SELECT id, depth FROM chain""")
+    return links.sparkSession.sql(
+        """WITH RECURSIVE chain(id, previous, depth) AS (
+          SELECT id, previous, 1 FROM {links} WHERE id = {start}
+          UNION ALL SELECT l.id, l.previous, c.depth + 1 FROM chain c JOIN {links} l ON l.id = c.previous WHERE c.depth < {depth})
+        SELECT id, depth FROM chain""",
+        links=links, start=int(start), depth=int(depth),
+    )
 
 
 def upsert(stored: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -173,16 +174,23 @@ def fair_schedule(states: DataFrame, sources: DataFrame, slots: int = 9) -> Data
     for k, v in C.MEDIA_ROLE_SCORE.items():
         role = F.when(F.col("media_type") == k, v).otherwise(role)
     s = sources.where("approved").join(states, "source_id", "left").select(
-        "source_id", "region", F.coalesce(F.unix_timestamp("due_at"), F.lit(-1)).alias("due"),
+        "source_id", "region", "beats", F.coalesce(F.unix_timestamp("due_at"), F.lit(-1)).alias("due"),
         (role + F.floor(F.col("weight") * 10 + 0.5) + F.floor(F.coalesce("accepted_rate", F.lit(0.5)) * 20 + 0.5) - F.least(F.lit(60), F.coalesce("consecutive_failures", F.lit(0)) * 15)).alias("fixed"),
     )
     def choose(registry: pd.DataFrame) -> pd.DataFrame:
-        left, regions, out = registry.drop(columns="all"), set(), []
+        left, regions, out, beats = registry.drop(columns="all"), set(), [], dict.fromkeys(C.CATEGORIES, 0)
+
+        def open_beats(of) -> int:
+            """60 and the beat's priority for a beat not met yet, 30 and it for one met once."""
+            return sum({0: 60, 1: 30}[beats[b]] + len(C.CATEGORIES) - C.CATEGORIES.index(b) for b in of if beats[b] < 2)
+
         while len(left) and len(out) < slots:
             cohort = left[left["due"] == left["due"].min()]
-            score = cohort["fixed"] + (~cohort["region"].isin(regions)) * 18
+            score = cohort["fixed"] + (~cohort["region"].isin(regions)) * 18 + cohort["beats"].map(open_beats)
             best = cohort.assign(score=score).sort_values(["score", "source_id"], ascending=[False, True]).iloc[0]
             regions.add(best["region"])
+            for b in best["beats"]:
+                beats[b] += 1
             out.append((len(out) + 1, best["source_id"]))
             left = left[left["source_id"] != best["source_id"]]
         return pd.DataFrame(out, columns=["position", "source_id"])
