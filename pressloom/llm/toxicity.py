@@ -206,12 +206,16 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
           max_toxic: int = 1200, max_clean: int = 2400, max_chars: int = 12_000) -> ToxicModel:
     """A model from a bounded sample of the labelled rows that are not held out, the same on every run.
 
-    At most max_toxic and max_clean rows of each label, drawn by hash, none longer than max_chars.
+    At most max_toxic and max_clean documents of each label, drawn by hash, no text longer than max_chars; of several
+    texts of one id the first in order counts.
     """
     marks = labels.where(~held_out(id_col)).where(F.col(label_col).isin(0, 1)).groupBy(id_col).agg(F.max(label_col).alias("_toxic"))
-    rows = docs.select(id_col, text_col).where(F.length(text_col) <= max_chars).join(marks, id_col)
-    rows = rows.select(F.col(text_col).alias("text"), "_toxic", F.xxhash64(F.col(id_col), F.lit("toxicity")).alias("_draw"))
-    sample = [rows.where(F.col("_toxic") == value).orderBy("_draw", "text").limit(most) for value, most in ((1, max_toxic), (0, max_clean))]
+    short = docs.where(F.length(text_col) <= max_chars)
+    # the draw sees ids alone; texts follow for the drawn ones, one a document
+    ids = short.select(id_col).join(marks, id_col).distinct().withColumn("_draw", F.xxhash64(F.col(id_col), F.lit("toxicity")))
+    drawn = [ids.where(F.col("_toxic") == value).orderBy("_draw", id_col).limit(most) for value, most in ((1, max_toxic), (0, max_clean))]
+    drawn = drawn[0].union(drawn[1])  # max_toxic + max_clean ids at most
+    sample = short.select(id_col, F.col(text_col).alias("text")).join(F.broadcast(drawn), id_col).groupBy(id_col, "_toxic", "_draw").agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [r for b in batches for r in zip(b.column("_toxic").to_pylist(), b.column("_draw").to_pylist(), b.column("text").to_pylist(), strict=True)]
@@ -220,7 +224,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
         yield pa.RecordBatch.from_arrays([pa.array([model.odds.tobytes()], pa.binary()), pa.array([model.bias])], names=["odds", "bias"])
 
     # The sample is bounded, so one task holds it; the model is 2^BUCKET_BITS numbers.
-    both = sample[0].union(sample[1]).select("_toxic", "_draw", "text").coalesce(1)
+    both = sample.select("_toxic", "_draw", "text").coalesce(1)
     got = both.mapInArrow(run, "odds binary, bias double").first()
     if got is None:  # no labelled rows, no task
         return train([], np.empty(0, bool))
