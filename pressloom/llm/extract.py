@@ -38,7 +38,8 @@ CLOSES = {  # a new element ends an open one of these
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"},
 }
 ENDS_P = BLOCK - {"html", "head", "body", "title", "option", "label", "button", "iframe", "video", "audio", "canvas"}
-TAG = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][a-zA-Z0-9-]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)|<[!?][^>]*(?:>|$)", re.S)
+#: A quote opens a quoted value right behind an equals sign only; elsewhere it is a plain character.
+TAG = re.compile(r"""<!--.*?(?:-->|$)|<(/?)([a-zA-Z][a-zA-Z0-9-]*)((?:[^>=]|=[ \t\n\r\f]*"[^"]*(?:"|$)|=[ \t\n\r\f]*'[^']*(?:'|$)|=)*)(?:>|$)|<[!?][^>]*(?:>|$)""", re.S)
 NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 PATH_BITS, WORD_BITS, PATH_DIM, WORD_DIM, NUMBERS, HIDDEN = 11, 11, 12, 6, 8, 16
 INPUT = PATH_DIM + WORD_DIM + NUMBERS
