@@ -32,15 +32,19 @@ def sainte_lague(votes: np.ndarray, seats: int) -> np.ndarray:
     total = votes.sum()
     if seats <= 0 or total <= 0:
         return out
-    # A divisor gives all but a few seats at once; the rest go one by one.
-    out = np.maximum(np.floor(votes * seats / total + 0.5).astype(np.int64) - 1, 0)
-    while out.sum() < seats:
-        out[np.argmax(votes / (2 * out + 1))] += 1
-    # The start is never above the result: a source may be one seat short of its rounded share at most,
-    # but guard the case where rounding overshot.
-    while out.sum() > seats:
-        last = np.where(out > 0, votes / np.maximum(2 * out - 1, 1), np.inf)
-        out[len(last) - 1 - np.argmin(last[::-1])] -= 1
+    # Bisection for the largest factor that gives no seat too many; the rest are ties of the next quotient.
+    low, high = 0.0, 2.0 * (seats + len(votes)) / total
+    for _ in range(200):
+        middle = (low + high) / 2
+        if np.floor(votes * middle + 0.5).sum() <= seats:
+            low = middle
+        else:
+            high = middle
+    out = np.floor(votes * low + 0.5).astype(np.int64)
+    while (rest := seats - int(out.sum())) > 0:
+        best = np.lexsort((np.arange(len(votes)), -votes / (2 * out + 1)))
+        best = best[votes[best] > 0]
+        out[best[:rest]] += 1
     while True:  # exchange until no source's next quotient beats another's last one
         nxt = np.where(votes > 0, votes / (2 * out + 1), -1.0)
         last = np.where(out > 0, votes / np.maximum(2 * out - 1, 1), np.inf)

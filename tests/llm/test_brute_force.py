@@ -150,3 +150,17 @@ def test_main_text_of_pages(spark):
 def test_language_model_beats_its_base_on_held_out(spark):
     rows = [r for r in Q["op1_lm_score"](spark, "/root/testdata/sf0.01").collect() if r.held_out]
     assert rows and sum(r.score for r in rows) > sum(r.base_score for r in rows)
+
+
+def test_seats_go_to_the_highest_quotients():
+    import numpy as np
+
+    from pressloom.llm.apportion import sainte_lague
+
+    rng = np.random.default_rng(0)
+    for _ in range(100):
+        votes, seats = rng.integers(0, 20, rng.integers(1, 12)), int(rng.integers(0, 60))
+        want = [0] * len(votes)
+        for _ in range(seats if votes.sum() else 0):
+            want[max(range(len(votes)), key=lambda i: (votes[i] / (2 * want[i] + 1), -i))] += 1
+        assert sainte_lague(votes, seats).tolist() == want
