@@ -96,13 +96,33 @@ def assemble(conv: pa.Array, role: pa.Array, text: pa.Array) -> pa.RecordBatch:
     )
 
 
+#: Text bytes of the conversations in one output batch, whose offsets have 32 bits; escapes can make texts longer.
+BATCH_BYTES = 1 << 28
+
+
+def _runs(table: pa.Table, limit: int | None = None) -> Iterator[tuple[int, int]]:
+    """Row ranges of whole conversations of about limit bytes together; a longer conversation stands alone."""
+    conv = pc.fill_null(table["conv_id"], -(1 << 62)).to_numpy()
+    size = pc.fill_null(pc.binary_length(table["text"]), 0).to_numpy() + pc.fill_null(pc.binary_length(table["role"]), 0).to_numpy()
+    first = np.flatnonzero(np.r_[True, conv[1:] != conv[:-1]])
+    before, stop = np.r_[0, np.cumsum(size)], np.r_[first[1:], len(conv)]
+    a = 0
+    while a < len(conv):
+        to = stop[stop > a]
+        fits = to[before[to] - before[a] <= (limit or BATCH_BYTES)]
+        b = int(fits[-1] if len(fits) else to[0])
+        yield a, b
+        a = b
+
+
 def _assemble_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Feeds assemble with whole conversations; the last one of a batch waits for the next batch."""
     waiting: list[pa.RecordBatch] = []
 
-    def flush(table: pa.Table) -> pa.RecordBatch:
-        table = table.combine_chunks()
-        return assemble(*(table[c].combine_chunks() if table[c].num_chunks != 1 else table[c].chunk(0) for c in ("conv_id", "role", "text")))
+    def flush(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        for a, b in _runs(table):
+            part = table.slice(a, b - a).combine_chunks()
+            yield assemble(*(part[c].combine_chunks() if part[c].num_chunks != 1 else part[c].chunk(0) for c in ("conv_id", "role", "text")))
 
     for batch in batches:
         if not batch.num_rows:
@@ -113,11 +133,11 @@ def _assemble_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         cut = len(conv) - int(pc.sum(same).as_py())
         if cut or (waiting and waiting[-1].column("conv_id")[-1].as_py() != last):
             done = [*waiting, batch.slice(0, cut)] if cut else waiting
-            yield flush(pa.Table.from_batches(done))
+            yield from flush(pa.Table.from_batches(done))
             waiting = []
         waiting.append(batch.slice(cut))
     if waiting:
-        yield flush(pa.Table.from_batches(waiting))
+        yield from flush(pa.Table.from_batches(waiting))
 
 
 def format_chats(chats: DataFrame, *, conv_col="conv_id", turn_col="turn", role_col="role", text_col="text") -> DataFrame:

@@ -107,3 +107,12 @@ def test_top_k_leaves_out_broken_vectors(spark):
     got = [(r.query_id, r.rank, r.vec_id, r.score) for r in top_k(vectors, vectors.where("vec_id = 0"), k=10).orderBy("rank").collect()]
     assert got == [(0, 1, 1, 4 * 1024 * 1024), (0, 2, 5, 4 * 1024 * 1024), (0, 3, 7, 0)]
     assert top_k(vectors.where("false"), vectors.where("false"), k=10).count() == 0
+
+
+def test_long_batches_of_conversations_are_cut():
+    import pyarrow as pa
+
+    from pressloom.llm.chat import _runs
+
+    table = pa.table({"conv_id": pa.array([1, 1, 2, 3, None, None]), "role": ["user"] * 6, "text": ["x" * 10, None, "y" * 100, "z", "", "w" * 5]})
+    assert list(_runs(table, 40)) == [(0, 2), (2, 3), (3, 6)]
