@@ -128,8 +128,9 @@ def events_of(candidates: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per event with ordered members (A02, W05): distinct sources, URLs, votes, times, the summary shown and the anchor URL.
 
     The anchor is the first member by time and canonical URL, whatever the input order.
+    Labels without a voice show the first member's summary.
     """
-    rows = candidates.join(labels, "ord")
+    rows = candidates.join(labels if "voice" in labels.columns else labels.withColumn("voice", F.col("cluster")), "ord")
     member = F.struct("ord", "source_id", "url", "primary_category", "categories")
     lead = F.min(F.struct("ord", "id", "title", "url", "language")).alias("lead")
     at = F.coalesce(*[F.col(c) for c in ("published_at", "discovered_at", "extracted_at") if c in candidates.columns])
