@@ -33,6 +33,35 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The distinct values in order."""
+    s = np.sort(values)
+    keep = np.ones(len(s), bool)
+    keep[1:] = s[1:] != s[:-1]
+    return s[keep]
+
+
+def order_of(keys: np.ndarray) -> np.ndarray:
+    """The stable order of mixed 64-bit keys: one sort of their high bits with the place below, checked on the whole keys."""
+    low = np.uint64((1 << max(1, len(keys)).bit_length()) - 1)
+    packed = np.sort((keys & ~low) | np.arange(len(keys), dtype=np.uint64))
+    order = (packed & low).view(np.int64)
+    met = keys[order]
+    return order if (met[1:] >= met[:-1]).all() else np.argsort(keys, kind="stable")
+
+
+def groups_of(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct mixed keys in order, the place of the first of each, the group of every key, and the groups' sizes."""
+    order = order_of(keys)
+    met = keys[order]
+    head = np.ones(len(keys), bool)
+    head[1:] = met[1:] != met[:-1]
+    start = np.flatnonzero(head)
+    back = np.empty(len(keys), np.int64)
+    back[order] = np.cumsum(head) - 1
+    return met[start], order[start], back, np.diff(np.r_[start, len(keys)])
+
+
 @functools.lru_cache(maxsize=1)
 def _powers(log2: int) -> tuple[np.ndarray, np.ndarray]:
     out = []
