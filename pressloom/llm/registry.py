@@ -84,6 +84,24 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pressloom.llm.lloyd import cluster_vectors
+
+    return cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op12_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pressloom.llm.rotated import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pressloom.llm.collocations import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -101,6 +119,9 @@ def queries() -> dict:
         "op8_exact_top_k": op8_exact_top_k,
         "op9_main_text": op9_main_text,
         "op10_near_duplicates": op10_near_duplicates,
+        "op11_centroids": op11_centroids,
+        "op12_near_vectors": op12_near_vectors,
+        "op13_collocations": op13_collocations,
         "pipeline": pipeline,
         "op4_mix_sources": op4_mix_sources,
     }

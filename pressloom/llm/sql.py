@@ -131,7 +131,89 @@ SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, min(r.root) AS component_id, s.
 FROM sets s JOIN reach r ON r.node = s.doc_id GROUP BY s.doc_id, s.s
 """
 
+
+
+def _op11(k: int = 40, rounds: int = 5) -> str:
+    """Lloyd's rounds written out, one after the other, over all rows."""
+    near = """
+      SELECT code, c AS cluster, d AS distance, w FROM (
+        SELECT code, c, w, d, row_number() OVER (PARTITION BY code ORDER BY d, c) AS place FROM (
+          SELECT x.code, x.w, y.c, list_sum(list_transform(list_zip(x.code, y.at), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d
+          FROM weighed x CROSS JOIN c{i} y)) WHERE place = 1"""
+    steps = [f"""
+    WITH kept AS (
+      SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS code FROM embeddings
+      WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    weighed AS (SELECT code, count(*) AS w FROM kept GROUP BY code),
+    c0 AS (
+      SELECT (row_number() OVER (ORDER BY h, code) - 1)::INT AS c, code AS at
+      FROM (SELECT sha256('2:' || vec_id::VARCHAR) AS h, code FROM kept WHERE vec_id IS NOT NULL ORDER BY h, code LIMIT {k}))"""]
+    for i in range(rounds):
+        steps.append(f"""
+    n{i} AS ({near.format(i=i)}),
+    s{i} AS (SELECT cluster, pos, floor(sum(x * w)::DOUBLE / sum(w))::BIGINT AS x
+             FROM (SELECT cluster, w, unnest(code) AS x, unnest(range(64)) AS pos FROM n{i}) GROUP BY cluster, pos),
+    c{i + 1} AS (SELECT c.c, coalesce(m.at, c.at) AS at FROM c{i} c LEFT JOIN (SELECT cluster, list(x ORDER BY pos) AS at FROM s{i} GROUP BY cluster) m ON m.cluster = c.c)""")
+    steps.append(f"""
+    last AS ({near.format(i=rounds)}),
+    sums AS (SELECT cluster, sum(distance * w)::BIGINT AS cluster_inertia FROM last GROUP BY cluster)""")
+    return ",".join(steps) + f"""
+    SELECT k.vec_id, l.cluster, l.distance, s.cluster_inertia, (SELECT sum(cluster_inertia)::BIGINT FROM sums) AS inertia,
+      sha256(array_to_string(list_transform(c.at, lambda v: v::VARCHAR), ',')) AS centroid_sha256
+    FROM kept k JOIN last l USING (code) JOIN sums s USING (cluster) JOIN c{rounds} c ON c.c = l.cluster"""
+
+
+OP12 = """
+WITH RECURSIVE v AS (
+  SELECT row_number() OVER () AS r, vec_id, label, embedding::DOUBLE[] AS x,
+    coalesce(vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+      AND len(list_filter(embedding, lambda x: x <> 0)) > 0, false) AS ok
+  FROM embeddings),
+links AS (
+  SELECT a.r AS u, b.r AS v, b.vec_id AS other
+  FROM v a JOIN v b ON a.label = b.label AND len(a.x) = len(b.x) AND a.r <> b.r AND a.ok AND b.ok
+  WHERE list_dot_product(a.x, b.x) / sqrt(list_dot_product(a.x, a.x) * list_dot_product(b.x, b.x)) >= 0.93),
+reach AS (
+  SELECT r AS node, vec_id AS root FROM v
+  UNION SELECT l.v, r.root FROM reach r JOIN links l ON l.u = r.node),
+roots AS (SELECT node, min(root) AS root FROM reach GROUP BY node),
+counts AS (SELECT u, count(*) AS n FROM links GROUP BY u)
+SELECT v.vec_id, coalesce(c.n, 0)::BIGINT AS n_links, t.root AS component_id, coalesce(v.vec_id = t.root, true) AS kept
+FROM v JOIN roots t ON t.node = v.r LEFT JOIN counts c ON c.u = v.r
+"""
+
+OP13 = """
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+  FROM documents),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM words GROUP BY lang),
+sizes AS (SELECT unnest(range(1, 6)) AS k),
+grams AS (
+  SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase
+  FROM words, sizes WHERE len(w) >= k),
+f AS (SELECT lang, k, phrase, count(*) AS a FROM grams GROUP BY ALL HAVING count(*) >= 100),
+cand AS (SELECT * FROM f WHERE k >= 2),
+left_over AS (
+  SELECT c.* FROM cand c WHERE NOT EXISTS (
+    SELECT 1 FROM cand x WHERE x.lang = c.lang AND x.k > c.k AND 100 * x.a >= 100 * c.a AND contains(' ' || x.phrase || ' ', ' ' || c.phrase || ' '))),
+cuts AS (
+  SELECT c.lang, c.phrase, c.a, j, array_to_string(string_split(c.phrase, ' ')[1:j], ' ') AS head, array_to_string(string_split(c.phrase, ' ')[j + 1:], ' ') AS tail
+  FROM left_over c, (SELECT unnest(range(1, 5)) AS j) WHERE j < c.k),
+scored AS (
+  SELECT c.lang, c.phrase, c.a, c.j, x.a AS l, y.a AS r, t.n, ((1000::HUGEINT * c.a * t.n) // (x.a::HUGEINT * y.a))::BIGINT AS score
+  FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = c.head JOIN f y ON y.lang = c.lang AND y.phrase = c.tail JOIN totals t ON t.lang = c.lang),
+weakest AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) AS place FROM scored),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM weakest WHERE place = 1)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000
+"""
+
 ORACLES = {
+    "op11_centroids": _op11(),
+    "op12_near_vectors": OP12,
+    "op13_collocations": OP13,
     "op10_near_duplicates": OP10,
     "op7_chat_format": OP7,
     "op8_exact_top_k": OP8,
