@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession, Window
@@ -310,22 +309,47 @@ def _(spark, sf):
 
 # ---- streams ------------------------------------------------------------------------------------
 def _folder(spark: SparkSession) -> str:
-    """A new folder under the cluster's checkpoint folder; a local one only where none is named, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pressloom-stream-")
+    """A new folder under the shared one that the cluster names."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
-@query("stream_dedupe_72h", "SELECT DISTINCT user_id, event_type FROM events")
+def seen_candidates(events):
+    """Sightings of candidates made from events: the publication time of every fourth lies ahead of its own time, of every ninth it is unknown."""
+    shift = F.make_interval(mins=((F.col("event_id") * 37) % 400 - 300).cast("int"))
+    return events.select(F.col("user_id").alias("source_id"), F.col("event_type").alias("kind"), "event_id", "ts", F.when(F.col("event_id") % 9 != 0, F.col("ts") + shift).alias("published_at"), "value")
+
+
+def attempts_of(events):
+    """Attempts made from events, as in the run log, with the source's interval."""
+    a = T.runs_of(events).where("status <> 'skipped'")
+    found = F.col("k") % 10
+    return a.select(
+        "source_id", "event_id", F.col("attempted_at").alias("ts"), F.col("status").isin("success", "empty").alias("ok"), "latency_ms",
+        found.alias("discovered"), F.least(found, F.col("k") % 7).alias("accepted"), ((F.col("source_id") % 4 + 1) * 30).alias("interval_minutes"),
+    )
+
+
+@query("stream_dedupe_72h", """WITH e AS (SELECT user_id AS source_id, event_type AS kind, event_id, ts, value, ts + to_minutes((event_id * 37 % 400 - 300)::INT) AS p FROM events),
+  r AS (SELECT *, CASE WHEN event_id % 9 <> 0 AND p <= ts THEN p END AS published, {'t': ts, 'i': event_id} AS turn FROM e WHERE epoch_ms(ts) > (SELECT epoch_ms(max(ts)) FROM events) - 259200000)
+SELECT source_id, kind, count(*) AS n, min(ts) AS discovered_at, max(ts) AS updated_at, arg_max(published, turn) FILTER (published IS NOT NULL) AS published_at, arg_max(value, turn) AS value FROM r GROUP BY 1, 2""")
 def _(spark, sf):
-    return ST.drained(ST.within_retention(ST.read_events(spark, sf)).select("user_id", "event_type"), _folder(spark), "append")
+    return ST.upserted(ST.retained(seen_candidates(ST.read_events(spark, sf))), _folder(spark), "source_id", "kind")
 
 
 @query("stream_slot_counts", "SELECT time_bucket(interval 120 minutes, ts)::TIMESTAMP AS slot, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def _(spark, sf):
-    return ST.drained(ST.slot_counts(ST.read_events(spark, sf)), _folder(spark), "complete")
+    return ST.drained(ST.slot_counts(ST.read_events(spark, sf)), _folder(spark), "complete").drop("batch")
 
 
-@query("stream_source_state", """WITH s AS (SELECT *, max(CASE WHEN event_type = 'purchase' THEN row END) OVER (PARTITION BY user_id) AS good FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS row FROM events))
-SELECT user_id AS source_id, (count(*) FILTER (row > coalesce(good, 0)))::BIGINT AS failures, count(*) AS attempts, max(ts) AS last_attempt_at FROM s GROUP BY 1""")
+@query("stream_source_state", f"""WITH {RUNS}, a AS (SELECT *, status IN ('success', 'empty') AS ok, k % 10 AS found, least(k % 10, k % 7) AS taken, (source_id % 4 + 1) * 30 AS minutes, {{'t': attempted_at, 'i': event_id}} AS turn FROM runs WHERE status <> 'skipped'),
+  g AS (SELECT *, max(turn) FILTER (ok) OVER (PARTITION BY source_id) AS good FROM a),
+  v AS (SELECT source_id, list(latency_ms ORDER BY attempted_at, event_id) AS v FROM a WHERE latency_ms > 0 GROUP BY 1),
+  s AS (SELECT source_id, count(*) AS attempts, count(*) FILTER (good IS NULL OR turn > good) AS failures, max(attempted_at) AS last_at, max(attempted_at) FILTER (ok) AS ok_at, any_value(minutes) AS minutes, arg_max(taken / found, turn) FILTER (found > 0) AS rate FROM g GROUP BY 1)
+SELECT source_id, failures AS consecutive_failures, attempts, last_at AS last_attempt_at, ok_at AS last_success_at, CASE WHEN failures >= 3 THEN last_at + to_minutes((2 * minutes)::INT) END AS circuit_open_until,
+  list_reduce(v, lambda s, x: (8 * s + 2 * x + 5) // 10) AS latency_ms_p50, list_reduce(v, lambda s, x: greatest(x, (95 * s + 50) // 100)) AS latency_ms_p95, rate::DOUBLE AS accepted_rate, last_at + to_minutes(minutes::INT) AS next_due_at
+FROM s LEFT JOIN v USING (source_id)""")
 def _(spark, sf):
-    return ST.drained(ST.source_state(ST.read_events(spark, sf)), _folder(spark), "update")
+    return ST.upserted(ST.source_state(attempts_of(ST.read_events(spark, sf))), _folder(spark), "source_id")

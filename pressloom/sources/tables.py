@@ -53,9 +53,13 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The source run log made from events."""
+    return runs_of(table(spark, sf_dir, "events"))
+
+
+def runs_of(events: DataFrame) -> DataFrame:
     kind = F.col("event_type")
     status = F.when(kind == "purchase", "success").when(kind == "view", "empty").when(kind == "signup", "partial").when(kind == "click", "skipped").otherwise("failed")
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         "event_id", F.col("user_id").alias("source_id"), F.col("ts").alias("attempted_at"), status.alias("status"),
         F.floor(F.col("value") * 100 + 0.5).cast("long").alias("latency_ms"), F.get_json_object("props", "$.k").cast("long").alias("k"),
     )

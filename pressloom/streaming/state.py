@@ -1,59 +1,211 @@
-"""Structured Streaming forms of the operational rollups; each has a batch twin in the queries' SQL."""
+"""Structured Streaming forms of the operational rollups; each has a batch twin in the queries' SQL.
+
+Keyed state lives in transformWithState: rows that may still change an answer sit in a map state,
+what is settled in a value state, and one event-time timer a key lets go of what the watermark has
+passed.  A row's place is its event time and id, never its arrival, so the final rows are the same
+from one micro-batch and from many.
+"""
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor
+
+from pressloom import config as C
 
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+MINUTE = 60_000_000
+EPOCH = datetime.datetime(1970, 1, 1)
 
-def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+
+def read_events(spark: SparkSession, folder: str, pattern: str = "events.parquet", files_per_batch: int | None = None) -> DataFrame:
     """The event log as a stream of files."""
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    schema = spark.read.option("pathGlobFilter", pattern).parquet(folder).schema
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
+    reader = reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader
+    return reader.parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def within_retention(events: DataFrame, hours: int = 72) -> DataFrame:
-    """The first sight of each (source, kind) within the retention window; state older than the watermark goes."""
-    return events.withWatermark("ts", f"{hours} hours").dropDuplicatesWithinWatermark(["user_id", "event_type"])
+def _micros(column: pd.Series) -> list:
+    """Microseconds since 1970 of a timestamp column, None for null."""
+    return [None if pd.isna(t) else (t.tz_localize(None) if t.tzinfo else t).value // 1000 for t in column]
 
 
-def slot_counts(events: DataFrame, minutes: int = 120) -> DataFrame:
-    """Attempts by slot and kind."""
-    return events.withWatermark("ts", "72 hours").groupBy(F.window("ts", f"{minutes} minutes").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("slot"), "event_type", "n")
+def _moment(micros: int | None) -> datetime.datetime | None:
+    return None if micros is None else EPOCH + datetime.timedelta(microseconds=micros)
+
 
+class _Windowed(StatefulProcessor):
+    """Rows by (milliseconds, id) in a map state, let go of once the watermark has passed them."""
 
-def _fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Failures in a row, attempts and latest time of one source; a success resets the run."""
-    failures, attempts, latest = state.get if state.exists else (0, 0, None)
-    rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-    for status in rows["event_type"]:
-        failures = 0 if status == "purchase" else failures + 1
-    attempts += len(rows)
-    last = rows["ts"].max().to_pydatetime()
-    latest = last if latest is None else max(latest, last)
-    state.update((failures, attempts, latest))
-    yield pd.DataFrame({"source_id": [key[0]], "failures": [failures], "attempts": [attempts], "last_attempt_at": [latest]})
+    ROWS = ""
 
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.rows = handle.getMapState("rows", "at long, id long", self.ROWS)
+        self.wake = handle.getValueState("wake", "at long")
 
-def source_state(events: DataFrame) -> DataFrame:
-    """State of every source kept across micro-batches, one row a source and batch.
+    def _timer(self) -> None:
+        """One timer a key, at its earliest row."""
+        first = min((k[0] for k in self.rows.keys()), default=None)
+        held = self.wake.get()[0] if self.wake.exists() else None
+        if held != first:
+            if held is not None:
+                self.handle.deleteTimer(held)
+            if first is None:
+                self.wake.clear()
+            else:
+                self.handle.registerTimer(first)
+                self.wake.update((first,))
+
+    def _passed(self, watermark: int) -> list:
+        """The rows up to the watermark in order; they leave the map."""
+        old = sorted((k, v) for k, v in self.rows.iterator() if k[0] <= watermark)
+        for k, _ in old:
+            self.rows.removeKey(k)
+        return old
+
+    def close(self) -> None:
+        pass
+
+
+class Retention(_Windowed):
+    """The retained rows of a key folded into one: R06, R07, K03.
+
+    The newest row gives the value, the newest known publication time stays, discovery is
+    the earliest; a publication time after the row's own time is none.  When the last row
+    has left the window, a row with n = 0 takes the key away.
+    """
 
-    A batch's rows of a source are sorted by time, so lateness across batches counts in order of arrival.
+    ROWS = "ts long, published long, value double"
+    OUT = "source_id long, kind string, n long, discovered_at timestamp, updated_at timestamp, published_at timestamp, value double, step int"
+
+    def _folded(self, key: tuple, step: int) -> pd.DataFrame:
+        rows = sorted((k[0], k[1], *v) for k, v in self.rows.iterator())
+        order = sorted(rows, key=lambda r: (r[2], r[1]))
+        known = [r[3] for r in order if r[3] is not None]
+        first, last = (order[0], order[-1]) if order else (None, None)
+        return pd.DataFrame({
+            "source_id": [key[0]], "kind": [key[1]], "n": [len(order)], "discovered_at": [_moment(first and first[2])], "updated_at": [_moment(last and last[2])],
+            "published_at": [_moment(known[-1] if known else None)], "value": [last and last[4]], "step": [step],
+        })
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        for part in rows:
+            published = _micros(part["published_at"])
+            for ts, i, p, v in zip(_micros(part["ts"]), part["event_id"], published, part["value"], strict=True):
+                self.rows.updateValue((ts // 1000, int(i)), (ts, p if p is not None and p <= ts else None, float(v)))
+        self._passed(timerValues.getCurrentWatermarkInMs())
+        self._timer()
+        yield self._folded(key, 0)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.wake.clear()
+        self._passed(timerValues.getCurrentWatermarkInMs())
+        self._timer()
+        yield self._folded(key, 1)
+
+
+def retained(rows: DataFrame, hours: int = 72) -> DataFrame:
+    """Changes of the retained row of every (source_id, kind); upserted() keeps the last of a key.
+
+    A row counts while its time is within hours of the newest time seen anywhere.
     """
-    shape = "source_id long, failures long, attempts long, last_attempt_at timestamp"
-    return events.groupBy("user_id").applyInPandasWithState(_fold, shape, "failures long, attempts long, latest timestamp", "update", GroupStateTimeout.NoTimeout)
+    keyed = rows.withWatermark("ts", f"{hours} hours").groupBy("source_id", "kind")
+    return keyed.transformWithStateInPandas(Retention(), Retention.OUT, "Update", "EventTime")
+
+
+class SourceState(_Windowed):
+    """What is known of a source after its attempts in order of time.
+
+    Attempts wait in the map until the watermark has passed them, so that late ones fall
+    into their place; then they enter the settled state for good.  What goes out is the
+    settled state with the waiting attempts added.
+    """
+
+    ROWS = "ts long, ok boolean, latency long, discovered long, accepted long, minutes long"
+    SETTLED = "failures long, attempts long, last_attempt long, last_success long, circuit long, p50 long, p95 long, accepted long, discovered long, due long"
+    OUT = "source_id long, consecutive_failures long, attempts long, last_attempt_at timestamp, last_success_at timestamp, circuit_open_until timestamp, latency_ms_p50 long, latency_ms_p95 long, accepted_rate double, next_due_at timestamp, step int"
+
+    def init(self, handle) -> None:
+        super().init(handle)
+        self.settled = handle.getValueState("settled", self.SETTLED)
+
+    def _after(self, state: tuple, row: tuple) -> tuple:
+        failures, attempts, _, success, circuit, p50, p95, accepted, discovered, _ = state
+        ts, ok, latency, found, taken, minutes = row
+        failures = 0 if ok else failures + 1
+        circuit = None if ok else ts + 2 * minutes * MINUTE if failures >= C.DEFAULTS.failures_to_open else circuit
+        if latency:
+            p50 = latency if p50 is None else (8 * p50 + 2 * latency + 5) // 10
+            p95 = latency if p95 is None else max(latency, (95 * p95 + 50) // 100)
+        if found:
+            accepted, discovered = taken, found
+        return failures, attempts + 1, ts, ts if ok else success, circuit, p50, p95, accepted, discovered, ts + minutes * MINUTE
+
+    def _settle(self, watermark: int) -> tuple:
+        state = tuple(self.settled.get()) if self.settled.exists() else (0, 0, *[None] * 8)
+        if old := self._passed(watermark):
+            for _, row in sorted(old, key=lambda kv: (kv[1][0], kv[0][1])):
+                state = self._after(state, tuple(row))
+            self.settled.update(state)
+        self._timer()
+        return state
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        for part in rows:
+            for ts, i, ok, lat, found, taken, minutes in zip(_micros(part["ts"]), part["event_id"], part["ok"], part["latency_ms"], part["discovered"], part["accepted"], part["interval_minutes"], strict=True):
+                self.rows.updateValue((ts // 1000, int(i)), (ts, bool(ok), int(lat), int(found), int(taken), int(minutes)))
+        state = self._settle(timerValues.getCurrentWatermarkInMs())
+        for _, row in sorted(self.rows.iterator(), key=lambda kv: (kv[1][0], kv[0][1])):
+            state = self._after(state, tuple(row))
+        failures, attempts, last, success, circuit, p50, p95, accepted, discovered, due = state
+        yield pd.DataFrame({
+            "source_id": [key[0]], "consecutive_failures": [failures], "attempts": [attempts], "last_attempt_at": [_moment(last)], "last_success_at": [_moment(success)], "circuit_open_until": [_moment(circuit)],
+            "latency_ms_p50": pd.array([p50], "Int64"), "latency_ms_p95": pd.array([p95], "Int64"), "accepted_rate": [accepted / discovered if discovered else None], "next_due_at": [_moment(due)], "step": [0],
+        })
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.wake.clear()
+        self._settle(timerValues.getCurrentWatermarkInMs())
+        return iter(())
+
+
+def source_state(attempts: DataFrame, lateness: str = "72 hours") -> DataFrame:
+    """Changes of every source's state; attempts may come up to lateness behind the newest one."""
+    return attempts.withWatermark("ts", lateness).groupBy("source_id").transformWithStateInPandas(SourceState(), SourceState.OUT, "Update", "EventTime")
+
+
+def slot_counts(events: DataFrame, minutes: int = 120) -> DataFrame:
+    """Attempts by slot and kind."""
+    return events.withWatermark("ts", "72 hours").groupBy(F.window("ts", f"{minutes} minutes").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("slot"), "event_type", "n")
 
 
 def drained(stream: DataFrame, folder: str, mode: str) -> DataFrame:
-    """Runs a stream over all that is there now and returns what it wrote under folder."""
+    """Runs a stream over all that is there now and returns the rows it wrote under folder, with their batch."""
     spark = stream.sparkSession
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider, None)
+    spark.conf.set(provider, ROCKS)  # transformWithState keeps its state there
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/rows/batch={number}" if mode != "complete" else f"{folder}/rows/batch=all")
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/rows/part={'all' if mode == 'complete' else number}")
+
+    try:
+        stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+    finally:
+        spark.conf.set(provider, before) if before else spark.conf.unset(provider)
+    return spark.read.parquet(f"{folder}/rows").drop("part")
+
 
-    stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
-    return spark.read.parquet(f"{folder}/rows/*").drop("batch")
+def upserted(changes: DataFrame, folder: str, *keys: str) -> DataFrame:
+    """The last row of every key that a stream of changes wrote; a last row with n = 0 takes its key away."""
+    log = drained(changes, folder, "update")
+    kept = [c for c in log.columns if c not in ("batch", "step", *keys)]
+    last = log.groupBy(*keys).agg(F.max_by(F.struct(*kept), F.struct("batch", "step")).alias("r")).select(*keys, "r.*")
+    return last.where("n > 0") if "n" in kept else last
