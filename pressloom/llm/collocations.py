@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pressloom.llm.columns import LOWER, ORDER_CODES, Prefix, flat, mix, slices, word_hashes
 from pressloom.llm.durable import durable, release
 
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 8 << 20
 FILTER_BITS = 1 << 28
 SEGMENT = 1 << 20  # bytes of the filter in one row
 COUNTED = "lang string, phrase string, n long"
@@ -66,8 +66,9 @@ class Postings:
         words = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(bounds), pa.py_buffer(data[inside]))
         coded = pc.dictionary_encode(words)
         self.words = coded.dictionary
-        self.word = coded.indices.to_numpy().astype(np.int64)
-        self.position = np.arange(len(starts)) + np.cumsum(broken, dtype=kind)[starts]
+        self.word = coded.indices.to_numpy()  # 32 bits, as all numbers of words in a block
+        self.position = np.cumsum(broken, dtype=kind)[starts]
+        self.position += np.arange(len(starts), dtype=kind)
         body, at = flat(self.words)
         self.hash = Prefix(body).hash(at[:-1], at[1:]) if len(self.words) else np.empty(0, np.uint64)
 
@@ -83,8 +84,8 @@ class Lists:
 
     @classmethod
     def of_words(cls, p: Postings) -> Lists:
-        order = np.argsort(p.word, kind="stable")
-        return cls(np.arange(len(p.words))[:, None], p.word[order], order, p.hash * ORDER_CODES[0])
+        order = np.argsort(p.word, kind="stable").astype(np.int32)
+        return cls(np.arange(len(p.words), dtype=np.int32)[:, None], p.word[order], order, p.hash * ORDER_CODES[0])
 
     def lengths(self) -> np.ndarray:
         return np.bincount(self.name, minlength=len(self.words))
@@ -92,7 +93,7 @@ class Lists:
     def kept(self, filter_bits: np.ndarray) -> Lists:
         """Without the lists of phrases that are not frequent."""
         keep = holds(filter_bits, mix(self.sums))
-        back = np.cumsum(keep) - 1
+        back = np.cumsum(keep, dtype=np.int32) - 1
         entries = keep[self.name]
         return Lists(self.words[keep], back[self.name[entries]], self.place[entries], self.sums[keep])
 
@@ -110,13 +111,13 @@ class Lists:
         at, name, behind = self.place[ok], self.name[ok], behind[ok]
         ok = p.position[behind] == p.position[at] + size
         at, name, word = at[ok], name[ok], p.word[behind[ok]]
-        key = name * max(1, len(p.words)) + word
+        key = name.astype(np.int64) * max(1, len(p.words)) + word
         order = np.argsort(key, kind="stable")
         key, at = key[order], at[order]
         fresh = np.ones(len(key), bool)
         fresh[1:] = key[1:] != key[:-1]
         old, word = key[fresh] // max(1, len(p.words)), key[fresh] % max(1, len(p.words))
-        return Lists(np.column_stack([self.words[old], word]), np.cumsum(fresh) - 1, at, self.sums[old] + p.hash[word] * ORDER_CODES[size])
+        return Lists(np.column_stack([self.words[old], word.astype(np.int32)]), np.cumsum(fresh, dtype=np.int32) - 1, at, self.sums[old] + p.hash[word] * ORDER_CODES[size])
 
     def texts(self, p: Postings) -> pa.Array:
         parts = [p.words.take(pa.array(self.words[:, j])) for j in range(self.words.shape[1])]
