@@ -72,6 +72,44 @@ EVENT_BOOSTS = {"conflict": 10, "disaster": 10, "policy": 8, "economy": 6, "rese
 OPINION = "(排名|盘点|评论|观点|前景预测|如何看|best chance|ranking|opinion|commentary)"
 LOCAL = "(选区|村庄|地方候选人|社区活动|constituency|local candidate)"
 SPORT_PEAK = "(决赛|冠军|夺冠|淘汰|纪录|final|champion|title|record)"
+#: White space as readers of markup see it.
+SPACES = "[\\s\\x0B\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff]"
+NAMED_REFERENCES = [("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'")]
+BOILERPLATE = "责任编辑|版权|Copyright|广告|声明|二维码|分享到|举报"
+DESCRIPTION_KEYS = "(?i)(^|:|_)(description|og_description|twitter_description)$"
+DATE_KEYS = "(?i)(^|:|_)(published_time|publishdate|pubdate|datepublished|datecreated|publish_time|pubtime|date|createdate|article_date)$"
+LINKED_DATES = ["datePublished", "dateCreated", "dateModified"]
+LINKED_TEXTS = ["description", "articleBody"]
+ZONE = r"(?i)\d{1,2}:\d{2}(?::\d{2})?(?:\.\d+)?(?:Z|[+-]\d{2}:?\d{2})(?!\w)|(?<!\w)(?:GMT|UTC)(?!\w)"
+CLOCK = r"\d{1,2}:\d{2}|(?<!\w)20\d{12}(?!\w)"
+LOCAL_DATE = r"(20\d{2})\s*[年/.-]\s*(\d{1,2})\s*[月/.-]\s*(\d{1,2})(?:\s*日)?(?:[ T]+(\d{1,2}):(\d{2})(?::(\d{2}))?)?"
+COMPACT_DATE = r"(?<!\w)(20\d{2})(\d{2})(\d{2})(?:(\d{2})(\d{2})(\d{2})|[ T](\d{1,2}):(\d{2})(?::(\d{2}))?)?(?!\w)"
+MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
+ISO_DATE = r"(?i)^(\d{4})-(\d{2})-(\d{2})(?:[T ](\d{2}):(\d{2})(?::(\d{2})(\.\d{1,3})?\d*)?)?\s*(Z|GMT|UTC|[+-]\d{2}:?\d{2})?$"
+DAY_FIRST = r"(?i)^(?:[a-z]+,?\s+)?(\d{1,2})\s+([a-z]{3})[a-z]*\.?,?\s+(\d{4})(?:,?\s+(\d{1,2}):(\d{2})(?::(\d{2}))?)?()\s*(Z|(?:GMT|UTC)?[+-]\d{2}:?\d{2}|GMT|UTC)?(?:\s*\(.*\))?$"
+MONTH_FIRST = r"(?i)^(?:[a-z]+,?\s+)?([a-z]{3})[a-z]*\.?\s+(\d{1,2}),?\s+(\d{4})(?:,?\s+(\d{1,2}):(\d{2})(?::(\d{2}))?)?()\s*(Z|(?:GMT|UTC)?[+-]\d{2}:?\d{2}|GMT|UTC)?(?:\s*\(.*\))?$"
+PATH_DATES = [
+    r"/(20\d{2})/(\d{2})/(\d{2})(?:/|$)", r"/(20\d{2})/(\d{2})-(\d{2})(?:/|$)", r"/(20\d{2})/(\d{2})(\d{2})(?:/|[-_.])",
+    r"(?:/|-)(20\d{2})-(\d{2})-(\d{2})(?:/|$)", r"/(20\d{2})(\d{2})(\d{2})(?:/|[-_.])",
+]
+QUERY_DATE = r"[?&][^=]*=(20\d{2})(\d{2})(\d{2})"
+INLINE_DATES = [
+    r"""var\s+publishDate\s*=\s*["']\s*(20\d{12})\s*["']""",
+    r"(?:发布时间|发表时间|更新时间|发布日期|发布于|时间)[:：\s]*(20\d{2}[-/.年]\d{1,2}[-/.月]\d{1,2}(?:日)?(?:\s+\d{1,2}:\d{2}(?::\d{2})?)?)",
+    r"(20\d{2}年\d{1,2}月\d{1,2}日\s+\d{1,2}:\d{2}(?::\d{2})?)",
+    r"(?<!\w)(20\d{2}[-/.]\d{1,2}[-/.]\d{1,2}\s+\d{1,2}:\d{2}(?::\d{2})?)(?!\w)",
+]
+BROKEN_DATE = r"(?<!\w)(20\d{2})\s+(\d{1,2})\s*/\s*(\d{1,2})\s+(\d{1,2}:\d{2}(?::\d{2})?)(?!\w)"
+HEADER_YEAR = r"""(?i)class=["'][^"']*year[^"']*["'][^>]*>\s*<em>\s*(20\d{2})\s*</em>"""
+HEADER_DAY = r"""(?i)class=["'][^"']*day[^"']*["'][^>]*>\s*<em>\s*(\d{1,2})\s*</em>\s*/\s*<em>\s*(\d{1,2})\s*</em>"""
+HEADER_TIME = r"""(?i)class=["'][^"']*time[^"']*["'][^>]*>\s*(\d{1,2}:\d{2}(?::\d{2})?)"""
+TRAILING_DATE = r"\s+20\d{2}[-/.年]\d{1,2}[-/.月]\d{1,2}(?:日)?(?:\s+\d{1,2}:\d{2}(?::\d{2})?)?\s*$"
+#: Paths that look like articles.
+ARTICLE_PATHS = [
+    r"/(20\d{2}|n1|n2|article|articles|news|gn|gj|cj|sh|politics|finance|companies|tech|world)(?!\w)",
+    r"/20\d{6,8}/", r"/\d{6,}\.(html|shtml)$", r"/[a-f0-9]{20,}/c\.html$",
+]
+NO_LINKS = "(?i)^(javascript:|mailto:|tel:)"
 WEIGHTS = {"public_importance": 0.5, "user_preference": 0.2, "timeliness": 0.15, "source_confidence": 0.1, "content_quality": 0.05}
 MEDIA_ROLE_SCORE = {"wire": 28, "official": 24, "public": 20, "business": 14, "technology": 14, "commercial": 10, "social": -30}
 

@@ -5,11 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pressloom.config import ENTITY_IGNORED, STOP_WORDS
+from pressloom.config import ENTITY_IGNORED, SPACES, STOP_WORDS, SPACES
 
 HAN = r"\p{IsHan}"
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with value worked out once however often use names it: inside lambdas nothing else shares a value."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def normalize_text(c: Column) -> Column:
     """Lower case, URLs and signs to spaces, spaces collapsed, trimmed."""
     x = F.regexp_replace(F.lower(c), r"https?://\S+", " ")
@@ -59,3 +64,29 @@ def truncate_utf8(c: Column, max_bytes: int) -> Column:
     sizes = F.transform(units, lambda u: F.octet_length(u))
     kept = F.aggregate(sizes, F.struct(F.lit(0).alias("n"), F.lit(0).alias("b")), lambda a, s: F.when(a["b"] + s <= max_bytes, F.struct((a["n"] + 1).alias("n"), (a["b"] + s).alias("b"))).otherwise(F.struct(a["n"].alias("n"), F.lit(max_bytes + 1).alias("b"))))
     return F.array_join(F.slice(units, 1, kept["n"]), "")
+
+
+def comparable(c: Column) -> Column:
+    """Lower case without white space."""
+    return F.lower(F.regexp_replace(c, f"{SPACES}+", ""))
+
+
+def needs_repair(title: Column, summary: Column) -> Column:
+    """A blank summary, or one that only repeats the title."""
+    return (comparable(summary) == "") | (comparable(title) == comparable(summary))
+
+
+def has_chinese(c: Column) -> Column:
+    """Any Han character of the basic block."""
+    return c.rlike("[一-鿿]")
+
+
+def same_domain(host: Column, base: Column) -> Column:
+    """Equal hosts, or one below the other."""
+    below = lambda a, b: F.endswith(a, F.concat(F.lit("."), b))
+    return (host != "") & (base != "") & ((host == base) | below(host, base) | below(base, host))
+
+
+def percent_or(c: Column, fallback: float) -> Column:
+    """A number that may carry a percent sign, else the fallback."""
+    return F.coalesce(F.regexp_replace(F.trim(c), "%$", "").try_cast("double"), F.lit(fallback))

@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pressloom.functions.numbers import ratio
 
 
 def recall(stories: DataFrame, active: Column, visible: Column) -> DataFrame:
     """Share of active stories that are visible, 1 when none is active."""
     n = stories.agg(F.count_if(active).alias("eligible"), F.count_if(active & visible).alias("visible"))
-    return n.select("eligible", "visible", (F.col("eligible") - F.col("visible")).alias("missing"), F.when(F.col("eligible") > 0, ratio(F.col("visible"), F.col("eligible"))).otherwise(1.0).alias("recall"))
+    return n.select("eligible", "visible", (F.col("eligible") - F.col("visible")).alias("missing"), F.when(F.col("eligible") > 0, F.col("visible") / F.col("eligible")).otherwise(1.0).alias("recall"))
 
 
 def duplicate_slots(slots: DataFrame, slot: str) -> DataFrame:
@@ -19,16 +18,20 @@ def duplicate_slots(slots: DataFrame, slot: str) -> DataFrame:
     return slots.agg((F.count(slot) - F.countDistinct(slot)).alias("duplicate_slots"), F.countDistinct(slot).alias("slots"))
 
 
-def partitions(states: DataFrame, now: Column) -> DataFrame:
-    """Counts of enabled sources by condition."""
-    failing = F.col("consecutive_failures") > 0
-    broken = F.col("circuit_open_until").isNotNull()
-    waiting = broken & (F.col("circuit_open_until") > now)
+def partitions(states: DataFrame, now: Column, window_minutes: int = 30) -> DataFrame:
+    """Counts of enabled sources by condition.
+
+    Healthy is every source without an open circuit.  Attempts and successes count while they
+    are at most window_minutes old; a source without such an attempt is overdue, one that is
+    healthy and due is backlog.
+    """
+    opened = F.coalesce(F.col("circuit_open_until") > now, F.lit(False))
+    since = now - F.make_interval(mins=F.lit(window_minutes))
+    tried, won = (F.coalesce(F.col(c) >= since, F.lit(False)) for c in ("last_attempt_at", "last_success_at"))
     due = F.col("next_due_at") <= now
-    on = states.where("enabled")
-    return on.agg(
-        F.count("*").alias("enabled"), F.count_if(~failing).alias("healthy"), F.count_if(failing & ~broken).alias("failing"), F.count_if(waiting).alias("open_circuit"),
-        F.count_if(broken & ~waiting).alias("half_open"), F.count_if(due).alias("overdue"), F.count_if(due & ~waiting).alias("backlog"),
+    return states.where("enabled").agg(
+        F.count("*").alias("enabled"), F.count_if(~opened).alias("healthy"), F.count_if(opened).alias("open_circuit"), F.count_if((F.col("circuit_open_until") <= now) & due).alias("half_open_due"),
+        F.count_if(tried).alias("rolling_attempted"), F.count_if(~opened & won).alias("rolling_succeeded"), F.count_if(~tried).alias("overdue"), F.count_if(~opened & due).alias("backlog"),
     )
 
 

@@ -49,10 +49,12 @@ class _Event:
     def __init__(self, r):
         self.ord, self.url, self.title, self.name = r.ord, r.event_url, set(r.title_tokens), r.title_text
         self.beat, self.at, self.categories, self.votes = r.primary_category, r.at, list(dict.fromkeys(r.categories)), {r.primary_category: 1}
+        self.state = r.summary_status
         self._speak(r)
 
     def _speak(self, r) -> None:
-        self.voice, self.size, self.state, self.words = r.ord, r.summary_size, r.summary_status, r.summary_text
+        """r's summary is the one shown; the status is folded apart from it."""
+        self.voice, self.size, self.words = r.ord, r.summary_size, r.summary_text
         self.full = self.title | set(r.summary_tokens)
 
     def takes(self, r, title: set, full: set) -> bool:
@@ -72,8 +74,7 @@ class _Event:
         keeps, yields = (self.state, r.summary_status) == ("complete", "pending"), (self.state, r.summary_status) == ("pending", "complete")
         if yields or (not keeps and r.summary_size > self.size):
             self._speak(r)
-        if self.state == "pending" and r.summary_status is not None or r.summary_status == "complete":
-            self.state = r.summary_status if r.summary_status == "complete" else self.state
+        self.state = next((s for s in ("complete", "pending") if s in (self.state, r.summary_status)), None)
         self.at = max(self.at, r.at)
 
 

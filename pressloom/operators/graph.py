@@ -4,18 +4,26 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """The same rows from the shared checkpoint folder (spark.checkpoint.dir; a folder of our own only if unset)."""
+    """The same rows from the shared checkpoint folder."""
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="pressloom-"))
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; a new one of our own only where it is unset and all runs on this machine."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+    return named or tempfile.mkdtemp(prefix="pressloom-")
+
+
 def overlap_pairs(df: DataFrame, id_col: str, tokens_col: str, percent: int = 80) -> DataFrame:
     """Pairs (u, v), u < v, whose distinct token sets overlap by percent of the smaller one.
 
@@ -52,13 +60,3 @@ def components(edges: DataFrame) -> DataFrame:
         if new.where("root < old").isEmpty():
             return new.select("node", "root")
         labels = new.select("node", "root")
-
-
-def with_default(rows: DataFrame, id_col: str, labels: DataFrame, out: str) -> DataFrame:
-    """Rows with their component, themselves where they have no edge."""
-    named = labels.select(F.col("node").alias(id_col), F.col("root").alias(out))
-    return rows.join(named, id_col, "left").withColumn(out, F.coalesce(F.col(out), F.col(id_col)))
-
-
-def similar_titles(tokens: Column, other: Column) -> Column:
-    return F.size(F.array_intersect(tokens, other)) / F.least(F.size(tokens), F.size(other))

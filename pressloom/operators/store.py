@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
 from pressloom.functions.numbers import fingerprint
 
@@ -26,19 +27,39 @@ def upsert_candidates(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     return merged.withColumn("content_fingerprint", fingerprint(F.col("canonical_url"), F.col("title"), F.col("summary")))
 
 
+def _ordered(c: Column, kind: DataType) -> Column:
+    """c with the fields of every nested struct in order of name."""
+    if isinstance(kind, StructType):
+        return F.when(c.isNotNull(), F.struct(*[_ordered(c[f.name], f.dataType).alias(f.name) for f in sorted(kind.fields, key=lambda f: f.name)]))
+    if isinstance(kind, ArrayType):
+        return F.transform(c, lambda x: _ordered(x, kind.elementType))
+    if isinstance(kind, MapType):
+        return F.map_from_entries(F.array_sort(F.map_entries(c)))
+    return c
+
+
 def content_hash(df: DataFrame, *columns: str) -> DataFrame:
-    """One row: the hash of a set of rows whatever their order (X54): digests of stable JSON, summed and xor-ed."""
-    digest = F.sha2(F.to_json(F.struct(*[F.col(c) for c in sorted(columns)])), 256)
-    part = lambda a: F.conv(F.substring(digest, a, 15), 16, 10).cast("long")
-    both = df.agg(F.count("*").alias("n"), F.coalesce(F.bit_xor(part(1)), F.lit(0)).alias("x"), F.coalesce(F.bit_xor(part(16)), F.lit(0)).alias("y"))
-    return both.select("n", F.sha2(F.concat_ws("|", "n", "x", "y"), 256).alias("content_hash"))
+    """One row: the hash of a multiset of rows whatever their order.
+
+    Each row is digested as JSON with its keys in order, nested ones too, nulls left out.  Four
+    lanes of 60 bits of the digests are added up modulo 2^60, with the number of rows: equal rows
+    count as often as they are there, and a task hands on five numbers.
+    """
+    digest = F.sha2(F.to_json(_ordered(F.struct(*[F.col(c) for c in sorted(columns)]), df.select(*sorted(columns)).schema)), 256)
+    lane = lambda i: F.conv(F.substring(digest, 15 * i + 1, 15), 16, 10).cast("decimal(38,0)")
+    added = df.agg(F.count("*").alias("n"), *[(F.coalesce(F.sum(lane(i)), F.lit(0)) % (1 << 60)).cast("long").alias(f"l{i}") for i in range(4)])
+    return added.select("n", F.sha2(F.concat_ws("|", "n", "l0", "l1", "l2", "l3"), 256).alias("content_hash"))
 
 
 def publish(offers: DataFrame) -> DataFrame:
-    """Offers (stream, slot, hash) that become snapshots: unchanged ones do not (K06); each names the one it supersedes."""
-    w = Window.partitionBy("stream").orderBy("slot")
-    changed = offers.withColumn("latest", F.lag("hash").over(w)).where(F.col("latest").isNull() | (F.col("latest") != F.col("hash")))
-    return changed.drop("latest").withColumns({"version": F.row_number().over(w), "supersedes": F.lag("slot").over(w)})
+    """Offers (stream, slot, hash) that become snapshots: unchanged ones do not (K06); each names the one it supersedes.
+
+    Two missing hashes are the same content; offers of one slot come in order of their hash.
+    """
+    w = Window.partitionBy("stream").orderBy("slot", F.col("hash").asc_nulls_first())
+    changed = offers.withColumns({"latest": F.lag("hash").over(w), "first": F.row_number().over(w) == 1})
+    changed = changed.where(F.col("first") | ~F.col("latest").eqNullSafe(F.col("hash")))
+    return changed.drop("latest", "first").withColumns({"version": F.row_number().over(w), "supersedes": F.lag("slot").over(w)})
 
 
 def rolled_back(snapshots: DataFrame, leases: DataFrame) -> DataFrame:
@@ -49,13 +70,6 @@ def rolled_back(snapshots: DataFrame, leases: DataFrame) -> DataFrame:
     return latest.join(held, "stream", "left").select("stream", F.when(free, F.col("s.supersedes")).otherwise(F.col("s.slot")).alias("pointer"), free.alias("moved"))
 
 
-def fenced(log: DataFrame, acquires: Column) -> DataFrame:
-    """Writes of a lease log (stream, at, event_id, token) and whether their token is the newest lease's."""
-    w = Window.partitionBy("stream").orderBy("at", "event_id")
-    epochs = log.withColumn("epoch", F.sum(acquires.cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return epochs.where(~acquires).withColumn("accepted", F.col("token") == F.col("epoch"))
-
-
 def first_of_key(log: DataFrame, key: Column) -> DataFrame:
     """Attempts with their idempotency key: the first of a key runs, the others are duplicates."""
     keyed = log.withColumn("key", key)

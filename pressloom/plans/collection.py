@@ -13,6 +13,7 @@ from pressloom.functions import html as H
 from pressloom.functions import urls as U
 from pressloom.operators import audit as A
 from pressloom.operators import store as S
+from pressloom.operators.graph import shared_folder
 from pressloom.plans.queries import query
 from pressloom.sources import tables as T
 from pressloom.sources.tables import ORACLE_CANDIDATES as CAND
@@ -46,8 +47,8 @@ def _(spark, sf):
 
 
 @query("content_hash", """WITH d AS (SELECT sha256('{"doc_id":' || doc_id || ',"n_chars":' || n_chars || ',"source":"' || source || '"}') AS h FROM documents),
-  p AS (SELECT count(*) AS n, bit_xor(('0x' || substr(h, 1, 15))::BIGINT) AS x, bit_xor(('0x' || substr(h, 16, 15))::BIGINT) AS y FROM d)
-SELECT n, sha256(n || '|' || x || '|' || y) AS content_hash FROM p""")
+  l AS (SELECT i, sum(('0x' || substr(h, (15 * i + 1)::INT, 15))::BIGINT::HUGEINT) % 1152921504606846976 AS v FROM d, range(4) t(i) GROUP BY i)
+SELECT (SELECT count(*) FROM d) AS n, sha256((SELECT count(*) FROM d) || '|' || string_agg(v::VARCHAR, '|' ORDER BY i)) AS content_hash FROM l""")
 def _(spark, sf):
     return S.content_hash(T.table(spark, sf, "documents"), "source", "doc_id", "n_chars")
 
@@ -82,19 +83,6 @@ def _(spark, sf):
     return T.table(spark, sf, "events").select(F.col("user_id").alias("stream")).distinct().join(latest, "stream", "left").fillna(0, ["version"])
 
 
-LEASES = """lease AS (SELECT user_id AS stream, ts AS seen_at, event_id, event_type = 'signup' AS acquires FROM events),
-  ep AS (SELECT *, sum(acquires::INT) OVER (PARTITION BY stream ORDER BY seen_at, event_id ROWS UNBOUNDED PRECEDING) AS epoch FROM lease)"""
-
-
-@query("fencing_tokens", f"WITH {LEASES} SELECT stream, event_id, epoch::BIGINT AS epoch, event_id % 3 <> 0 AS accepted FROM ep WHERE NOT acquires")
-def _(spark, sf):
-    log = T.table(spark, sf, "events").select(F.col("user_id").alias("stream"), F.col("ts").alias("at"), "event_id", (F.col("event_type") == "signup").alias("acquires"))
-    w = Window.partitionBy("stream").orderBy("at", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    # every third write still carries the token of the lease before
-    held = log.withColumn("token", F.sum(F.col("acquires").cast("long")).over(w) - (F.col("event_id") % 3 == 0).cast("long"))
-    return S.fenced(held, F.col("acquires")).select("stream", "event_id", "epoch", "accepted")
-
-
 @query("idempotency_keys", """SELECT user_id || '|' || floor(epoch(ts) / 7200)::BIGINT AS key, arg_min(event_id, (ts, event_id)) AS winner, count(*) - 1 AS duplicates FROM events GROUP BY 1""")
 def _(spark, sf):
     log = T.table(spark, sf, "events").select("user_id", F.col("ts").alias("at"), "event_id")
@@ -128,7 +116,7 @@ def _(spark, sf):
 # ---- audits -------------------------------------------------------------------------------------
 @query("audit_recall", f"""WITH {CAND}, a AS (SELECT published_at <= {NOW} AND published_at >= {NOW} - interval 24 hours AS active, ord % 3 <> 0 AS seen FROM cand),
   n AS (SELECT count(*) FILTER (active) AS eligible, count(*) FILTER (active AND seen) AS visible FROM a)
-SELECT eligible, visible, eligible - visible AS missing, CASE WHEN eligible > 0 THEN floor(visible / eligible * 1000 + 0.5) / 1000 ELSE 1.0 END AS recall FROM n""")
+SELECT eligible, visible, eligible - visible AS missing, CASE WHEN eligible > 0 THEN visible / eligible ELSE 1.0 END AS recall FROM n""")
 def _(spark, sf):
     at = F.col("published_at")
     return A.recall(T.candidates(spark, sf), (at <= T.now()) & (at >= T.now() - F.expr("interval 24 hours")), F.col("ord") % 3 != 0)
@@ -140,18 +128,20 @@ def _(spark, sf):
 
 
 STATE = f"""st AS (SELECT user_id AS source_id, user_id % 11 <> 0 AS enabled, count(*) FILTER (event_type = 'error') % 4 AS consecutive_failures,
-  CASE WHEN count(*) FILTER (event_type = 'error') % 4 = 3 THEN max(ts) + to_minutes((user_id % 3 * 600)::INT) END AS circuit_open_until, max(ts) + to_minutes((user_id % 5 * 400)::INT) AS next_due_at FROM events GROUP BY user_id)"""
+  CASE WHEN count(*) FILTER (event_type = 'error') % 4 = 3 THEN max(ts) + to_minutes((user_id % 3 * 600)::INT) END AS circuit_open_until, max(ts) + to_minutes((user_id % 5 * 400)::INT) AS next_due_at,
+  CASE WHEN user_id % 13 > 0 THEN max(ts) END AS last_attempt_at, max(ts) FILTER (event_type = 'purchase') AS last_success_at FROM events GROUP BY user_id)"""
 
 
-@query("source_partitions", f"""WITH {STATE} SELECT count(*) AS enabled, count(*) FILTER (consecutive_failures = 0) AS healthy, count(*) FILTER (consecutive_failures > 0 AND circuit_open_until IS NULL) AS failing,
-  count(*) FILTER (circuit_open_until > {NOW}) AS open_circuit, count(*) FILTER (circuit_open_until <= {NOW}) AS half_open, count(*) FILTER (next_due_at <= {NOW}) AS overdue,
-  count(*) FILTER (next_due_at <= {NOW} AND NOT coalesce(circuit_open_until > {NOW}, false)) AS backlog FROM st WHERE enabled""")
+@query("source_partitions", f"""WITH {STATE}, t AS (SELECT *, coalesce(circuit_open_until > {NOW}, false) AS open, coalesce(last_attempt_at >= {NOW} - interval 1440 minutes, false) AS tried, coalesce(last_success_at >= {NOW} - interval 1440 minutes, false) AS won, next_due_at <= {NOW} AS due FROM st WHERE enabled)
+SELECT count(*) AS enabled, count(*) FILTER (NOT open) AS healthy, count(*) FILTER (open) AS open_circuit, count(*) FILTER (circuit_open_until <= {NOW} AND due) AS half_open_due, count(*) FILTER (tried) AS rolling_attempted,
+  count(*) FILTER (NOT open AND won) AS rolling_succeeded, count(*) FILTER (NOT tried) AS overdue, count(*) FILTER (NOT open AND due) AS backlog FROM t""")
 def _(spark, sf):
     fails = F.count_if(F.col("event_type") == "error") % 4
     later = lambda k, m: F.expr(f"max(ts) + make_interval(0, 0, 0, 0, 0, cast(user_id % {k} * {m} as int), 0)")
-    st = T.table(spark, sf, "events").groupBy("user_id").agg(fails.alias("consecutive_failures"), F.when(fails == 3, later(3, 600)).alias("circuit_open_until"), later(5, 400).alias("next_due_at"))
-    st = st.withColumn("enabled", F.col("user_id") % 11 != 0)
-    return A.partitions(st, T.now())
+    st = T.table(spark, sf, "events").groupBy("user_id").agg(
+        F.when(F.col("user_id") % 13 > 0, F.max("ts")).alias("last_attempt_at"), F.max(F.when(F.col("event_type") == "purchase", F.col("ts"))).alias("last_success_at"),
+        F.when(fails == 3, later(3, 600)).alias("circuit_open_until"), later(5, 400).alias("next_due_at"))
+    return A.partitions(st.withColumn("enabled", F.col("user_id") % 11 != 0), T.now(), 1440)
 
 
 @query("audit_correlation", f"""WITH {RUNS}, r AS (SELECT event_id AS run_id, status, event_id % 3 = 0 AS published FROM runs), p AS (SELECT event_id AS run_id, attempted_at AS response_at FROM runs WHERE status <> 'failed'),
@@ -190,28 +180,7 @@ def _(spark, sf):
     return c.groupBy("source_id").agg(F.count("*").alias("items"), F.array_join(F.array_sort(F.coalesce(F.collect_set("primary_category"), F.array().cast("array<string>"))), ",").alias("beats"), F.max("published_at").alias("reference_at"), F.min("published_at").alias("earliest_at"))
 
 
-@query("registry_issues", """WITH s AS (SELECT i, 'src' || (i % 18) AS id, CASE WHEN i % 7 = 0 THEN '' ELSE 'src' || i || '.example.com' END AS host, 'src' || (i - i % 5 % 2) || '.example.com' AS section FROM range(20) t(i))
-SELECT id AS source_id, 'duplicate_id' AS issue FROM s GROUP BY id HAVING count(*) > 1 UNION ALL SELECT id, 'no_hosts' FROM s WHERE host = '' UNION ALL SELECT id, 'section_outside_hosts' FROM s WHERE host <> '' AND section <> host""")
-def _(spark, sf):
-    i = F.col("id")
-    s = spark.range(20).select(F.concat(F.lit("src"), i % 18).alias("source_id"), F.when(i % 7 == 0, "").otherwise(F.concat(F.lit("src"), i, F.lit(".example.com"))).alias("host"), F.concat(F.lit("src"), i - i % 5 % 2, F.lit(".example.com")).alias("section"))
-    issue = lambda df, code: df.select("source_id", F.lit(code).alias("issue"))
-    twice = s.groupBy("source_id").count().where("count > 1")
-    return issue(twice, "duplicate_id").unionByName(issue(s.where("host = ''"), "no_hosts")).unionByName(issue(s.where("host <> '' AND section <> host"), "section_outside_hosts"))
-
-
 # ---- dates, URLs, categories --------------------------------------------------------------------
-@query("published_dates", """WITH o AS (SELECT o_orderkey, o_orderdate + to_seconds((o_orderkey % 86400)::INT) AS t, o_orderkey % 6 AS form FROM orders), f AS (SELECT *, year(t) >= 2000 AS modern FROM o)
-SELECT o_orderkey, CASE WHEN form = 0 THEN t - interval 8 hours WHEN NOT modern THEN NULL WHEN form = 1 THEN date_trunc('minute', t) - interval 8 hours WHEN form IN (2, 3) THEN t - interval 8 hours WHEN form = 4 THEN date_trunc('day', t) - interval 8 hours END::TIMESTAMP AS published_at,
-  form = 0 AS zoned, form IN (0, 1, 2, 5) AS clock FROM f""")
-def _(spark, sf):
-    o = T.table(spark, sf, "orders").select("o_orderkey", F.expr("cast(o_orderdate as timestamp) + make_interval(0, 0, 0, 0, 0, 0, o_orderkey % 86400)").alias("t"))
-    as_ = lambda p: F.date_format("t", p)
-    form = F.col("o_orderkey") % 6
-    text = F.when(form == 0, F.concat(as_("yyyy-MM-dd'T'HH:mm:ss"), F.lit("+08:00"))).when(form == 1, as_("yyyy年M月d日 HH:mm")).when(form == 2, F.concat(F.lit("发布 "), as_("yyyy-MM-dd HH:mm:ss"))).when(form == 3, as_("yyyyMMddHHmmss")).when(form == 4, as_("yyyy/MM/dd")).otherwise("2024-02-30 10:00")
-    return o.select("o_orderkey", D.parse_published(text).alias("published_at"), D.has_zone(text).alias("zoned"), D.has_clock(text).alias("clock"))
-
-
 @query("times_and_ages", f"""WITH {CAND} SELECT ord, CASE WHEN published_at + to_minutes((ord % 3000)::INT) <= {NOW} THEN published_at + to_minutes((ord % 3000)::INT) END AS at, floor((epoch_us({NOW}) - epoch_us(published_at)) / 60e6 * 1000 + 0.5) / 1000 AS age, strftime(published_at + interval 8 hours, '%Y-%m-%d') AS day FROM cand""")
 def _(spark, sf):
     c = T.candidates(spark, sf)
@@ -219,12 +188,6 @@ def _(spark, sf):
     return c.select("ord", D.not_future(moved, T.now()).alias("at"), D.age_minutes(F.col("published_at"), T.now()).alias("age"), D.local_day(F.col("published_at")).alias("day"))
 
 
-@query("url_titles", r"""WITH u AS (SELECT doc_id, 'https://x.example/' || lang || '/breaking-news_' || doc_id || '%20a.html?x=1' AS url FROM documents) SELECT doc_id, 'breaking news ' || doc_id || ' a' AS title, url LIKE 'https:%' AS https FROM u""")
-def _(spark, sf):
-    url = F.concat(F.lit("https://x.example/"), "lang", F.lit("/breaking-news_"), "doc_id", F.lit("%20a.html?x=1"))
-    return T.table(spark, sf, "documents").select("doc_id", H.title_from_url(url).alias("title"), (U.is_url(url) & (U.scheme(url) == "https")).alias("https"))
-
-
 def _category(title, summary, url, primary, categories):
     text = F.trim(F.regexp_replace(F.lower(F.concat_ws(" ", title, summary)), r"\s+", " "))
     scored = []
@@ -258,62 +221,11 @@ def _(spark, sf):
     return d.where((F.col("n") <= k) | F.array_contains(wanted, F.col("i").cast("long"))).select("doc_id", "source")
 
 
-@query("url_predicates", r"""WITH c AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'news.src.example.com' WHEN 1 THEN 'src.example.com' WHEN 2 THEN 'example.com' ELSE 'other.org' END AS host, left(regexp_replace(text, '[^一-鿿]', '', 'g'), 1) = '' AS not_chinese FROM documents)
-SELECT doc_id, host = 'src.example.com' OR ends_with(host, '.src.example.com') OR ends_with('src.example.com', '.' || host) AS same_domain, not_chinese FROM c""")
-def _(spark, sf):
-    i = F.col("doc_id")
-    host, base = F.when(i % 4 == 0, "news.src.example.com").when(i % 4 == 1, "src.example.com").when(i % 4 == 2, "example.com").otherwise("other.org"), F.lit("src.example.com")
-    same = (host == base) | F.endswith(host, F.concat(F.lit("."), base)) | F.endswith(base, F.concat(F.lit("."), host))
-    return T.table(spark, sf, "documents").select("doc_id", same.alias("same_domain"), (~F.col("text").rlike("[一-鿿]")).alias("not_chinese"))
-
-
-@query("percent_values", """SELECT event_id, CASE WHEN event_id % 3 = 0 THEN (event_id % 500)::DOUBLE WHEN event_id % 3 = 1 THEN 7.0 ELSE (event_id % 90)::DOUBLE END AS minutes FROM events""")
-def _(spark, sf):
-    i = F.col("event_id")
-    raw = F.when(i % 3 == 0, (i % 500).cast("string")).when(i % 3 == 1, "n/a").otherwise(F.concat((i % 90).cast("string"), F.lit("%")))
-    return T.table(spark, sf, "events").select("event_id", F.coalesce(F.regexp_replace(raw, "%$", "").try_cast("double"), F.lit(7.0)).alias("minutes"))
-
-
 # ---- markup -------------------------------------------------------------------------------------
-def _feed(spark, sf):
-    one = lambda tag, k: F.concat(F.lit(f"<{tag}><title><![CDATA[Story "), "doc_id", F.lit(f" &#38; part {k}]]></title><link>https://x.example/a/"), "doc_id", F.lit(f"/{k}</link><description>S &#x4E2D; "), "n_chars", F.lit("</description><pubDate>2024-01-0"), (F.col("doc_id") % 9 + 1), F.lit(f"</pubDate></{tag}>"))
-    return T.table(spark, sf, "documents").select("doc_id", F.concat(F.lit("<rss><channel>"), one("item", 1), one("item", 2), F.lit("</channel></rss>")).alias("xml"))
-
-
-@query("feed_entries", """SELECT doc_id, 'Story ' || doc_id || ' & part ' || k AS title, 'https://x.example/a/' || doc_id || '/' || k AS link, 'S 中 ' || n_chars AS summary, '2024-01-0' || (doc_id % 9 + 1) AS published FROM documents CROSS JOIN range(1, 3) t(k)""")
-def _(spark, sf):
-    return _feed(spark, sf).select("doc_id", F.explode(H.feed_entries(F.col("xml"))).alias("e")).select("doc_id", "e.*")
-
-
-@query("sitemap_entries", """SELECT doc_id, 'https://x.example/' || lang || '/' || doc_id || '/' || k AS loc, CASE WHEN k = 1 THEN '2024-01-0' || (doc_id % 9 + 1) END AS lastmod FROM documents CROSS JOIN range(1, 3) t(k)""")
-def _(spark, sf):
-    one = lambda k, mod: F.concat(F.lit("<url><loc> https://x.example/"), "lang", F.lit("/"), "doc_id", F.lit(f"/{k} </loc>"), mod, F.lit("</url>"))
-    xml = F.concat(F.lit("<urlset>"), one(1, F.concat(F.lit("<lastmod>2024-01-0"), F.col("doc_id") % 9 + 1, F.lit("</lastmod>"))), one(2, F.lit("")), F.lit("</urlset>"))
-    return T.table(spark, sf, "documents").select("doc_id", F.explode(H.sitemap_entries(xml)).alias("e")).select("doc_id", "e.*")
-
-
-@query("decoded_references", """SELECT doc_id, '<' || chr((doc_id % 900 + 200)::INT) || ' & ' || chr((doc_id % 500 + 8000)::INT) || ' &#zz; ' || repeat('é', (doc_id % 100)::INT) AS t FROM documents""")
-def _(spark, sf):
-    i = F.col("doc_id")
-    text = F.concat(F.lit("&lt;&#"), i % 900 + 200, F.lit("; &amp; &#x"), F.hex(i % 500 + 8000), F.lit("; &#zz; "), F.repeat(F.lit("&#233;"), (i % 100).cast("int")))
-    return T.table(spark, sf, "documents").select("doc_id", H.decode(text).alias("t"))
-
-
-@query("truncated_utf8", """SELECT doc_id, left(repeat('中', 8) || 'ab', (doc_id % 25 // 3)::INT) AS t FROM documents""")
-def _(spark, sf):
-    from pressloom.functions.text import truncate_utf8
-
-    d = T.table(spark, sf, "documents").select("doc_id", (F.col("doc_id") % 25).cast("int").alias("b"))
-    return d.select("doc_id", truncate_utf8(F.concat(F.repeat(F.lit("中"), F.lit(8)), F.lit("ab")), F.col("b")).alias("t"))
-
-
 # ---- streams ------------------------------------------------------------------------------------
 def _folder(spark: SparkSession) -> str:
-    """A new folder under the shared one that the cluster names."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    """A new folder under the shared one."""
+    return f"{shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
 def seen_candidates(events):

@@ -22,7 +22,7 @@ from pressloom.sources import tables as T
 from pressloom.sources.tables import ORACLE_CANDIDATES as CAND
 from pressloom.sources.tables import ORACLE_RUNS as RUNS
 from pressloom.sources.tables import ORACLE_SOURCES as SRC
-from pressloom.sources.tables import norm_sql, part_sql
+from pressloom.sources.tables import clean_sql, norm_sql, part_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -122,12 +122,7 @@ def _(spark, sf):
     return T.table(spark, sf, "pages").select("page_id", U.is_navigation(F.col("url")).alias("navigation"))
 
 
-@query("url_dates")
-def _(spark, sf):
-    return T.table(spark, sf, "pages").select("page_id", U.date_in_path(F.col("url")).alias("published_at"))
-
-
-@query("html_paragraphs", "WITH p AS (SELECT page_id, regexp_extract_all(html, '(?is)<p\\b[^>]*>(.*?)</p>', 1) AS ps FROM pages), c AS (SELECT page_id, unnest(list_transform(ps, lambda x: trim(regexp_replace(regexp_replace(x, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')))) AS t FROM p) SELECT page_id, md5(t) AS md5, length(t)::INT AS n_chars FROM c WHERE length(t) >= 40")
+@query("html_paragraphs", "WITH p AS (SELECT page_id, regexp_extract_all(html, '(?is)<p\\b[^>]*>(.*?)</p>', 1) AS ps FROM pages), c AS (SELECT page_id, unnest(list_transform(ps, lambda x: " + clean_sql("x") + ")) AS t FROM p) SELECT page_id, md5(t) AS md5, length(t)::INT AS n_chars FROM c WHERE length(t) >= 40")
 def _(spark, sf):
     p = T.table(spark, sf, "pages").select("page_id", F.explode(H.paragraphs(F.col("html"))).alias("t"))
     return p.select("page_id", F.md5("t").alias("md5"), F.length("t").alias("n_chars"))
@@ -139,10 +134,7 @@ def _(spark, sf):
     return a.groupBy("page_id", H.attribute(F.col("a"), "href").alias("href")).agg(F.count("*").alias("n"))
 
 
-_CLEAN = lambda x: f"trim(regexp_replace(regexp_replace({x}, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g'))"
-
-
-@query("html_title_heading", f"SELECT page_id, md5({_CLEAN("regexp_extract(html, '(?is)<title\\b[^>]*>(.*?)</title>', 1)")}) AS title, md5({_CLEAN("regexp_extract(html, '(?is)<h1\\b[^>]*>(.*?)</h1>', 1)")}) AS heading FROM pages")
+@query("html_title_heading", f"SELECT page_id, md5({clean_sql("regexp_extract(html, '(?is)<title\\b[^>]*>(.*?)</title>', 1)")}) AS title, md5({clean_sql("regexp_extract(html, '(?is)<h1\\b[^>]*>(.*?)</h1>', 1)")}) AS heading FROM pages")
 def _(spark, sf):
     p = T.table(spark, sf, "pages")
     return p.select("page_id", F.md5(H.clean(H.tag_text(F.col("html"), "title"))).alias("title"), F.md5(H.clean(H.tag_text(F.col("html"), "h1"))).alias("heading"))
@@ -153,11 +145,6 @@ def _(spark, sf):
     return T.table(spark, sf, "pages").select("page_id", H.page_format(F.col("html")).alias("format"), (F.octet_length("html") <= 2097152).alias("within_limit"))
 
 
-@query("article_context")
-def _(spark, sf):
-    return T.table(spark, sf, "pages").select("page_id", F.md5(H.article_context(F.col("html"))).alias("context_md5"))
-
-
 # ---- gate ---------------------------------------------------------------------------------------
 def gated(spark, sf):
     return gate.with_reason(T.candidates(spark, sf), T.sources(spark))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pressloom import config as C
 from pressloom.config import CATEGORIES
 
 NOW = "2024-01-31 00:00:00"
@@ -110,3 +111,16 @@ def canonical_sql(x: str, drop: str, event: bool) -> str:
 
 EVENT_URL = canonical_sql("url", "^(utm_[^=]*|fbclid|gclid)(=|$)", True)
 CANDIDATE_URL = canonical_sql("url", "^(utm_[^=]*|spm|from|source|ref)(=|$)", False)
+
+
+_WS = "[\\s\\x0B\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{FEFF}]"
+
+
+def decode_sql(x: str) -> str:
+    for name, char in C.NAMED_REFERENCES:
+        x = f"replace({x}, '{name}', '{char.replace(chr(39), chr(39) * 2)}')"
+    return x
+
+
+def clean_sql(x: str) -> str:
+    return f"trim(regexp_replace(regexp_replace(regexp_replace({decode_sql(x)}, '<!\\[CDATA\\[|\\]\\]>', '', 'g'), '<[^>]+>', ' ', 'g'), '{_WS}+', ' ', 'g'))"

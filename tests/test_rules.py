@@ -159,4 +159,4 @@ def test_fair_schedule_follows_beats_then_regions(spark):
 def test_references_of_any_number_are_decoded(spark):
     text = "".join(f"&#{i};" for i in range(200, 400)) + "&#x110000; &#12; &amp;"
     got = spark.createDataFrame([(text,)], "t string").select(H.decode(F.col("t")).alias("t")).first().t
-    assert got == "".join(map(chr, range(200, 400))) + "&#x110000; \f &"
+    assert got == "".join(map(chr, range(200, 400))) + "\0 \f &"  # numbers name 16-bit units
