@@ -28,6 +28,8 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+
+from pressloom.llm.durable import lean
 from tokenizers import Tokenizer
 
 CACHE_WORDS = 300_000
@@ -249,7 +251,7 @@ def encode_texts(docs: DataFrame, path: str, *, text_col: str = "text", ids_col:
 
     from pyspark.sql import types as T
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType()))]))
+    return docs.mapInArrow(lean(run), T.StructType([*docs.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType()))]))
 
 
 def bpe_digests(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -270,4 +272,4 @@ def bpe_digests(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col:
             )
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(lean(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pressloom.llm.columns import LOWER, ORDER_CODES, Prefix, flat, mix, slices, word_hashes
-from pressloom.llm.durable import durable, release
+from pressloom.llm.durable import durable, lean, release
 
 BLOCK_BYTES = 8 << 20
 FILTER_BITS = 1 << 28
@@ -202,9 +202,9 @@ def _or_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def phrase_filter(phrases: DataFrame, n_phrases: int) -> np.ndarray:
     """A bit set of phrase hashes, 16 bits a phrase and FILTER_BITS at most."""
     n_bytes = min(FILTER_BITS, 1 << max(16, (16 * n_phrases).bit_length())) // 8
-    parts = phrases.select("phrase").mapInArrow(_segments(n_bytes), "segment long, body binary")
+    parts = phrases.select("phrase").mapInArrow(lean(_segments(n_bytes)), "segment long, body binary")
     out = np.zeros(n_bytes, np.uint8)
-    for r in parts.repartition("segment").mapInArrow(_or_segments, "segment long, body binary").collect():  # n_bytes in all
+    for r in parts.repartition("segment").mapInArrow(lean(_or_segments), "segment long, body binary").collect():  # n_bytes in all
         out[r["segment"] * SEGMENT : r["segment"] * SEGMENT + len(r["body"])] |= np.frombuffer(r["body"], np.uint8)
     return out
 
@@ -214,7 +214,7 @@ def frequent_phrases(texts: DataFrame, *, most_words: int = 5, least: int = 100)
     spark = texts.sparkSession
     filters, levels, totals = [], [], None
     for size in range(1, most_words + 1):
-        counts = texts.mapInArrow(_counted(size, filters), COUNTED).groupBy("lang", "phrase").agg(F.sum("n").alias("a"))
+        counts = texts.mapInArrow(lean(_counted(size, filters)), COUNTED).groupBy("lang", "phrase").agg(F.sum("n").alias("a"))
         counts = durable(counts.where((F.col("a") >= least) | F.col("phrase").isNull()))
         release(spark)
         if size == 1:

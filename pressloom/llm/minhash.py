@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pressloom.llm.columns import ORDER_CODES, mix, shingle_sets, slices
-from pressloom.llm.durable import durable
+from pressloom.llm.durable import durable, lean
 from pressloom.llm.graph import components
 
 BINS, ROWS = 128, 4
@@ -93,7 +93,7 @@ def _sets(width: int):
 def _compared(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     """Pairs (u, v) with both set sizes, how many of u's shingles v lacks, and the codes in which they differ."""
     needed = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct()
-    sets = durable(texts.join(needed, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_sets(width), "id long, codes array<long>"))
+    sets = durable(texts.join(needed, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(lean(_sets(width)), "id long, codes array<long>"))
     a = sets.select(F.col("id").alias("u"), F.col("codes").alias("cu"))
     b = sets.select(F.col("id").alias("v"), F.col("codes").alias("cv"))
     both = pairs.join(a, "u").join(b, "v").select("u", "v", F.size("cu").alias("nu"), F.size("cv").alias("nv"), F.array_except("cu", "cv").alias("lacks"), F.array_except("cv", "cu").alias("adds"))
@@ -154,7 +154,7 @@ def _star_member_links(stars: DataFrame, percent: int, block_rows: int = 4096) -
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id and whether it is its component's first."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    profiles = durable(texts.mapInArrow(_profiles(width), "id long, n long, fp1 long, fp2 long, bands array<long>"))
+    profiles = durable(texts.mapInArrow(lean(_profiles(width)), "id long, n long, fp1 long, fp2 long, bands array<long>"))
     with_id = profiles.where("id IS NOT NULL AND n > 0")
     # Equal sets are one member, named by its smallest id.
     reps = durable(with_id.groupBy("fp1", "fp2", "n").agg(F.min("id").alias("rep"), F.first("bands").alias("bands")))

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pressloom.llm.columns import Prefix, flat, mix, slices
-from pressloom.llm.durable import durable, release
+from pressloom.llm.durable import durable, lean, release
 
 GRAM = 32
 BUCKET_ROWS = 16384
@@ -227,7 +227,7 @@ def repeated_ranges(docs: DataFrame, *, key_col: str, text_col: str = "text", le
     texts = docs.select(F.col(key_col).alias("key"), F.col(text_col).cast("string").alias("text"))
     texts = texts.where(F.octet_length("text") >= length)
     # span: first window << 16 | number of further windows (fewer than length)
-    runs = texts.mapInArrow(_runs(length), "key long, span long, gram long, stretch long")
+    runs = texts.mapInArrow(lean(_runs(length)), "key long, span long, gram long, stretch long")
     grams = runs.groupBy("gram").agg(F.count("*").alias("total"), F.min("stretch").alias("lo"), F.max("stretch").alias("hi"))
     grams = grams.where("total > 1").select("gram", (F.col("lo") < F.col("hi")).alias("mixed"))
     grams = durable(grams)  # so that the join deals both sides anew and a very common q-gram is split
@@ -240,14 +240,14 @@ def repeated_ranges(docs: DataFrame, *, key_col: str, text_col: str = "text", le
     kinds = stretches.where("mixed").groupBy("gram").agg(F.count("*").alias("kinds"))
     asked = stretches.where("mixed").join(kinds, "gram").select("at.*", "gram", "stretch", "many", "kinds")
     asked = asked.groupBy("key").agg(F.collect_list(F.struct("span", "gram", "stretch", "many", "kinds")).alias("asked"))  # one text's own
-    bodies = texts.join(asked, "key").select("text", "asked").mapInArrow(_cut_stretches(length), "gram long, stretch long, many long, kinds long, body binary")
+    bodies = texts.join(asked, "key").select("text", "asked").mapInArrow(lean(_cut_stretches(length)), "gram long, stretch long, many long, kinds long, body binary")
     bodies = durable(bodies)
     schema = "gram long, stretch long, steps array<int>"
     small = bodies.where(F.col("kinds") <= BUCKET_ROWS).select("gram", "stretch", "many", "body")
-    partly = small.repartition("gram").sortWithinPartitions("gram").mapInArrow(_steps_in_task(length), schema)
+    partly = small.repartition("gram").sortWithinPartitions("gram").mapInArrow(lean(_steps_in_task(length)), schema)
     large = bodies.where(F.col("kinds") > BUCKET_ROWS)
     if not large.isEmpty():  # a very common passage: its windows are dealt by their own names
-        windows = durable(large.mapInArrow(_windows(length), "gram long, stretch long, many long, step int, window long"))
+        windows = durable(large.mapInArrow(lean(_windows(length)), "gram long, stretch long, many long, step int, window long"))
         twice = windows.groupBy("gram", "window").agg(F.sum("many").alias("n")).where("n > 1").select("gram", "window")
         steps = windows.where("many = 1").join(twice, ["gram", "window"]).groupBy("gram", "stretch").agg(F.collect_list("step").alias("steps"))
         partly = partly.union(steps)  # at most length steps a stretch
@@ -271,7 +271,7 @@ def repeated_ranges(docs: DataFrame, *, key_col: str, text_col: str = "text", le
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(starts, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int64()))], names=["key", "starts", "ends"])
 
     ranges = found.groupBy("key").agg(F.collect_list(F.struct("span", "steps")).alias("ranges"))  # one text's own runs
-    return durable(ranges.mapInArrow(join_up, "key long, starts array<long>, ends array<long>"))
+    return durable(ranges.mapInArrow(lean(join_up), "key long, starts array<long>, ends array<long>"))
 
 
 def kept_bytes(data: np.ndarray, starts, ends) -> bytes:
@@ -314,7 +314,7 @@ def dedup_digests(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
             )
 
     joined = keyed.join(ranges.withColumnRenamed("key", "row_key"), "row_key", "left").select("doc_id", "text", "starts", "ends")
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return joined.mapInArrow(lean(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 200) -> DataFrame:
@@ -336,4 +336,4 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-2])
 
     joined = keyed.join(ranges.withColumnsRenamed({"starts": "_starts", "ends": "_ends"}), "row_key", "left")
-    return joined.select(*docs.columns, "_starts", "_ends").mapInArrow(run, docs.schema)
+    return joined.select(*docs.columns, "_starts", "_ends").mapInArrow(lean(run), docs.schema)

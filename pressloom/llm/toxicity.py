@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pressloom.llm.columns import LOWER, Prefix, flat, slices
+from pressloom.llm.durable import lean
 
 BUCKET_BITS, DIM, WINDOW, GRAMS = 18, 8, 6, (3, 4, 5)
 LETTER = np.zeros(256, bool)
@@ -225,7 +226,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 
     # The sample is bounded, so one task holds it; the model is 2^BUCKET_BITS numbers.
     both = sample.select("_toxic", "_draw", "text").coalesce(1)
-    got = both.mapInArrow(run, "odds binary, bias double").first()
+    got = both.mapInArrow(lean(run), "odds binary, bias double").first()
     if got is None:  # no labelled rows, no task
         return train([], np.empty(0, bool))
     return ToxicModel(np.frombuffer(got["odds"], np.float64), got["bias"])
@@ -243,4 +244,4 @@ def score(docs: DataFrame, model: ToxicModel, *, text_col: str = "text", score_c
             out = [sent.value.scores(texts.slice(a, b - a)) for a, b in slices(texts)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(out) if out else np.empty(0))], names=[*batch.schema.names, score_col])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())]))
+    return docs.mapInArrow(lean(run), T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())]))
