@@ -8,6 +8,7 @@ from pressloom.plans import integrity as _integrity  # noqa: F401  (registers it
 from pressloom.plans import markup as _markup  # noqa: F401  (registers its queries)
 from pressloom.plans import queries as _news
 from pressloom.plans import serving as _serving  # noqa: F401  (registers its queries)
+from pressloom.plans import storage as _storage  # noqa: F401  (registers its queries)
 
 
 def queries() -> dict:
