@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -162,37 +161,3 @@ def combine_outcomes(search: DataFrame, direct: DataFrame) -> DataFrame:
     a, b = best(search).withColumnsRenamed({"status": "sa", "n": "na"}), best(direct).withColumnsRenamed({"status": "sb", "n": "nb"})
     j = a.join(b, "source_id", "full_outer")
     return j.select("source_id", F.when(rank(F.col("sa")) <= rank(F.col("sb")), F.col("sa")).otherwise(F.coalesce("sb", "sa")).alias("status"), (F.coalesce("na", F.lit(0)) + F.coalesce("nb", F.lit(0))).alias("attempts"))
-
-
-def fair_schedule(states: DataFrame, sources: DataFrame, slots: int = 9) -> DataFrame:
-    """The next sources of the registry to collect (T11, T12): earliest due cohort, then coverage score, then id.
-
-    The registry is one row a source and bounded; each choice depends on the earlier ones, so its rows are
-    folded together.
-    """
-    role = F.lit(0)
-    for k, v in C.MEDIA_ROLE_SCORE.items():
-        role = F.when(F.col("media_type") == k, v).otherwise(role)
-    s = sources.where("approved").join(states, "source_id", "left").select(
-        "source_id", "region", "beats", F.coalesce(F.unix_timestamp("due_at"), F.lit(-1)).alias("due"),
-        (role + F.floor(F.col("weight") * 10 + 0.5) + F.floor(F.coalesce("accepted_rate", F.lit(0.5)) * 20 + 0.5) - F.least(F.lit(60), F.coalesce("consecutive_failures", F.lit(0)) * 15)).alias("fixed"),
-    )
-    def choose(registry: pd.DataFrame) -> pd.DataFrame:
-        left, regions, out, beats = registry.drop(columns="all"), set(), [], dict.fromkeys(C.CATEGORIES, 0)
-
-        def open_beats(of) -> int:
-            """60 and the beat's priority for a beat not met yet, 30 and it for one met once."""
-            return sum({0: 60, 1: 30}[beats[b]] + len(C.CATEGORIES) - C.CATEGORIES.index(b) for b in of if beats[b] < 2)
-
-        while len(left) and len(out) < slots:
-            cohort = left[left["due"] == left["due"].min()]
-            score = cohort["fixed"] + (~cohort["region"].isin(regions)) * 18 + cohort["beats"].map(open_beats)
-            best = cohort.assign(score=score).sort_values(["score", "source_id"], ascending=[False, True]).iloc[0]
-            regions.add(best["region"])
-            for b in best["beats"]:
-                beats[b] += 1
-            out.append((len(out) + 1, best["source_id"]))
-            left = left[left["source_id"] != best["source_id"]]
-        return pd.DataFrame(out, columns=["position", "source_id"])
-
-    return s.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(choose, "position int, source_id string")

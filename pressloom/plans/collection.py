@@ -12,6 +12,9 @@ from pressloom.functions import dates as D
 from pressloom.functions import html as H
 from pressloom.functions import urls as U
 from pressloom.operators import audit as A
+from pressloom.operators import coverage as V
+from pressloom.operators import operations as O
+from pressloom.operators import probing as P
 from pressloom.operators import store as S
 from pressloom.operators.graph import shared_folder
 from pressloom.plans.queries import query
@@ -214,14 +217,37 @@ def _(spark, sf):
   w AS (SELECT source, n, floor(k * (n - 1) / 9 + 0.5)::BIGINT AS i FROM (SELECT DISTINCT source, n FROM n) CROSS JOIN range(10) t(k) WHERE n > 10)
 SELECT doc_id, source FROM n WHERE n <= 10 OR (source, i) IN (SELECT (source, i) FROM w)""")
 def _(spark, sf):
-    k = 10
-    w = Window.partitionBy("source")
-    d = T.table(spark, sf, "documents").select("doc_id", "source").withColumns({"i": F.row_number().over(w.orderBy("doc_id")) - 1, "n": F.count("*").over(w)})
-    wanted = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda j: F.floor(j * (F.col("n") - 1) / (k - 1) + 0.5))
-    return d.where((F.col("n") <= k) | F.array_contains(wanted, F.col("i").cast("long"))).select("doc_id", "source")
+    return P.even_sample(T.table(spark, sf, "documents").select("doc_id", "source"), "source", [F.col("doc_id")], 10)
+
+
+@query("probe_selection", f"""WITH {CAND}, c AS (SELECT source_id AS section, row_number() OVER (PARTITION BY source_id ORDER BY date_trunc('day', published_at) DESC NULLS LAST, ord) AS ord, date_trunc('day', published_at) AS recency, right(source_id, 1) IN ('1', '3', '5', '7', '9') AS feed, published_at IS NOT NULL AND ord % 3 > 0 AS dated FROM cand),
+  n AS (SELECT *, count(*) OVER s AS n, count(*) FILTER (dated) OVER s AS nd, count(*) FILTER (NOT dated) OVER s AS nu, row_number() OVER (PARTITION BY section, dated ORDER BY ord) - 1 AS rk, row_number() OVER (PARTITION BY section ORDER BY ord) - 1 AS pl, first_value(recency) OVER (PARTITION BY section ORDER BY ord) AS newest FROM c WINDOW s AS (PARTITION BY section)),
+  m AS (SELECT *, count(*) FILTER (recency IS NOT DISTINCT FROM newest) OVER (PARTITION BY section) AS nb, least(8, nd) AS kd, CASE WHEN nu <= 20 - least(8, nd) THEN nu ELSE greatest(1, 20 - least(8, nd)) END AS ku FROM n),
+  w AS (SELECT *, [floor(j * (nu - 1) / greatest(ku - 1, 1) + 0.5)::BIGINT FOR j IN range(ku)] AS us, [floor(j * (nb - 1) / 19 + 0.5)::BIGINT FOR j IN range(20)] AS bs FROM m)
+SELECT section, ord, feed, dated FROM w WHERE CASE WHEN feed THEN CASE WHEN dated THEN rk < kd + greatest(0, 20 - kd - ku) ELSE nu <= ku OR list_contains(us, rk) END ELSE n <= 20 OR CASE WHEN nb >= 20 THEN list_contains(bs, pl) AND pl < nb ELSE pl < 20 END END""")
+def _(spark, sf):
+    c = T.candidates(spark, sf).select(F.col("source_id").alias("section"), F.date_trunc("day", "published_at").alias("recency"), F.col("ord").alias("i"), F.substring("source_id", -1, 1).isin("1", "3", "5", "7", "9").alias("feed"), (F.col("published_at").isNotNull() & (F.col("ord") % 3 > 0)).alias("dated"))
+    placed = P.ranked(c, "section", [F.col("recency").desc_nulls_last(), F.col("i")], "place").withColumn("ord", F.col("place") + 1)
+    return P.probes(placed.select("section", "ord", "recency", "feed", "dated"), 8, 20).select("section", "ord", "feed", "dated")
+
+
+def registries(spark, sf):
+    """Twelve registries of sources made from the run log, with real failures, accepted shares and due times."""
+    runs = T.runs(spark, sf)
+    s = O.source_states(runs).join(O.failure_streaks(runs), "source_id").join(O.accepted_rate(runs), "source_id", "left")
+    i, pick = F.col("source_id"), lambda xs, k: F.element_at(F.array(*[F.lit(x) for x in xs]), (k % len(xs) + 1).cast("int"))
+    section = F.struct(pick(C.CATEGORIES, i).alias("primary"), F.array(pick(C.CATEGORIES, i * 3 + 1)).alias("further"))
+    return s.select(
+        (i % 12).alias("registry"), F.concat(F.lit("src"), i).alias("source_id"), pick(T.REGIONS, i).alias("region"), pick(T.MEDIA, i).alias("media_type"), (1 + i % 3 * 0.5).alias("weight"), V.beats_of(F.array(section)).alias("beats"),
+        (i % 11 != 0).alias("approved"), F.date_trunc("day", "next_due_at").alias("due_at"), "accepted_rate", F.when(i % 4 > 0, F.lit(0)).otherwise(F.col("consecutive_failures")).alias("consecutive_failures"), F.when(i % 10 == 3, "timeout").alias("last_error"),
+    )
+
+
+@query("fair_schedule")
+def _(spark, sf):
+    return V.slot_budget(registries(spark, sf), T.now())
 
 
-# ---- markup -------------------------------------------------------------------------------------
 # ---- streams ------------------------------------------------------------------------------------
 def _folder(spark: SparkSession) -> str:
     """A new folder under the shared one."""

@@ -476,9 +476,3 @@ def _(spark, sf):
     return O.combine_outcomes(r.where("event_id % 2 = 0"), r.where("event_id % 2 = 1"))
 
 
-@query("fair_schedule")
-def _(spark, sf):
-    states = O.source_states(T.runs(spark, sf)).select(F.concat(F.lit("src"), F.col("source_id") % 20).alias("source_id"), "next_due_at", "last_attempt_at")
-    states = states.groupBy("source_id").agg(F.date_trunc("hour", F.min("next_due_at")).alias("due_at"), F.lit(0.5).alias("accepted_rate"), F.lit(0).alias("consecutive_failures"))
-    beat = lambda k, a: F.element_at(F.array(*[F.lit(c) for c in C.CATEGORIES]), (F.substring("source_id", 4, 2).cast("int") * k + a) % 10 + 1)
-    return O.fair_schedule(states, T.sources(spark).withColumn("beats", F.array_distinct(F.array(beat(1, 0), beat(3, 1)))))

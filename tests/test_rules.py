@@ -147,15 +147,6 @@ def test_dates_in_paths(spark):
     assert got == [dt.datetime(2026, 7, 8, 16), dt.datetime(2026, 6, 28, 16), dt.datetime(2026, 6, 28, 16), None]
 
 
-def test_fair_schedule_follows_beats_then_regions(spark):
-    shape = "source_id string, region string, media_type string, weight double, approved boolean, beats array<string>"
-    rows = [("a", "us", "public", 1.0, True, ["ai"]), ("b", "us", "public", 1.0, True, ["china"]), ("c", "us", "public", 1.0, True, ["china"]), ("d", "us", "public", 1.0, True, ["china", "ai"]), ("e", "eu", "wire", 9.0, False, ["policy"])]
-    states = spark.createDataFrame([], "source_id string, due_at timestamp, accepted_rate double, consecutive_failures int")
-    got = [r.source_id for r in O.fair_schedule(states, spark.createDataFrame(rows, shape)).orderBy("position").collect()]
-    # d opens two beats; then china (priority 10) at half worth over ai (priority 4); then ai, and the other china source last
-    assert got == ["d", "b", "a", "c"]
-
-
 def test_references_of_any_number_are_decoded(spark):
     text = "".join(f"&#{i};" for i in range(200, 400)) + "&#x110000; &#12; &amp;"
     got = spark.createDataFrame([(text,)], "t string").select(H.decode(F.col("t")).alias("t")).first().t
