@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pressloom.operators import codec, fallback, network
+from pressloom.operators import codec, fallback, legacy, network
 from pressloom.plans.queries import query
 from pressloom.sources import tables as T
 
@@ -75,3 +75,45 @@ def _(spark, sf):
     good = fallback.rebuilt(read("stories"), read("evidence"), listed(read("items")), read("sources"))
     reads = read("e").select("report", (~F.col("failed")).alias("ok")).distinct()
     return fallback.with_last_known_good(listed(read("window")), reads, good).withColumn("categories", F.array_join("categories", ","))
+
+
+# ---- reports of either version ------------------------------------------------------------------
+#: Each source's documents are a report: of the second version, the first, an empty or a broken one.
+_ITEM = """'{"id":"i' || doc_id || '","title":"t' || doc_id || '","url":"https://x.example/' || doc_id || '","sourceId":"s' || (doc_id % 7) || '","sourceName":"n' || (doc_id % 7) || '"' || CASE WHEN doc_id % 3 > 0 THEN ',"sourceIds":["a' || doc_id || '"' || CASE WHEN doc_id % 3 = 2 THEN ',"b' || doc_id || '","a' || doc_id || '"' ELSE '' END || ']' ELSE '' END || CASE WHEN doc_id % 5 = 0 THEN ',"sourceNames":["first"],"relatedUrls":[]' WHEN doc_id % 5 = 1 THEN ',"relatedUrls":["https://r.example/' || doc_id || '"]' ELSE '' END || CASE WHEN doc_id % 4 > 0 THEN ',"publishedAt":"2024-01-0' || (doc_id % 9 + 1) || 'T00:00:00Z"' ELSE '' END || CASE WHEN doc_id % 6 = 0 THEN ',"updatedAt":"2024-02-0' || (doc_id % 9 + 1) || 'T00:00:00Z"' ELSE '' END || ',"extractedAt":"2024-03-01T00:00:00Z"}'"""
+_STORY = """'{"id":"s' || doc_id || '","itemId":"i' || doc_id || '","updatedAt":"2024-01-2' || (doc_id % 9) || 'T00:00:00Z"' || CASE WHEN doc_id % 8 = 0 THEN ',"startedAt":"2023-12-31T00:00:00Z"' ELSE '' END || ',"evidence":[{"publishedAt":"2024-01-1' || (doc_id % 9) || 'T00:00:00Z"},{"publishedAt":"soon"},{}]}'"""
+_PARTS = "'{{\"version\":2,\"generatedAt\":\"2024-01-31T00:00:00Z\",\"topStories\":[],\"importantStories\":[],\"watchlist\":[],\"sections\":[],\"quality\":{{}},' || CASE WHEN report % 6 = 4 THEN '' ELSE '\"coverage\":{{\"a\":1}},' END || '\"stories\":['".replace("{{", "{").replace("}}", "}")
+#: One of the second version without coverage is read as the first.
+VERSION = "CASE report % 6 WHEN 0 THEN '{\"items\":[]}' WHEN 1 THEN '{\"items\":[' || items WHEN 2 THEN '{\"generatedAt\":\"x\",\"items\":[' || items || ']}' ELSE " + _PARTS + " || stories || '],\"items\":[' || items || ']}' END"
+REPORT, STORY = "doc_id % 40", f"CASE WHEN doc_id % 10 < 9 THEN {_STORY} END"
+
+
+def _versions(spark, sf):
+    d = T.table(spark, sf, "documents").selectExpr(f"{REPORT} AS report", "doc_id", f"{_ITEM} AS item", f"{STORY} AS story")
+    joined = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("doc_id", c)))), lambda s: s[c]), ",")
+    lists = d.groupBy("report").agg(joined("item").alias("items"), joined("story").alias("stories"))
+    return legacy.versioned(lists.selectExpr("report", f"{VERSION} AS text"))
+
+
+_V2 = " AND ".join(f"json_type(v, '$.{k}') = 'ARRAY'" for k in legacy.V2_LISTS)
+_TEXTS = f"""d AS (SELECT {REPORT} AS report, doc_id, {_ITEM} AS item, {STORY} AS story FROM documents), l AS (SELECT report, string_agg(item, ',' ORDER BY doc_id) AS items, coalesce(string_agg(story, ',' ORDER BY doc_id), '') AS stories FROM d GROUP BY 1), t AS (SELECT report, {VERSION} AS text FROM l),
+  j AS (SELECT report, CASE WHEN json_valid(text) THEN text::JSON END AS v FROM t), f AS (SELECT *, CASE WHEN (v ->> '$.version') = '2' AND {_V2} AND json_type(v, '$.coverage') IS NOT NULL AND json_type(v, '$.quality') IS NOT NULL AND try_strptime(v ->> '$.generatedAt', '%Y-%m-%dT%H:%M:%SZ') IS NOT NULL THEN 'v2' WHEN json_array_length(v, '$.items') > 0 THEN 'v1' ELSE 'none' END AS form FROM j)"""
+
+
+@query("legacy_items", f"""WITH {_TEXTS}, i AS (SELECT report, (e.key::BIGINT)::INT AS place, e.value AS i FROM f, LATERAL json_each(f.v, '$.items') e WHERE form = 'v1'),
+  x AS (SELECT *, from_json(i -> '$.sourceIds', '["VARCHAR"]') AS ids, from_json(i -> '$.sourceNames', '["VARCHAR"]') AS names, from_json(i -> '$.relatedUrls', '["VARCHAR"]') AS urls FROM i),
+  y AS (SELECT *, CASE WHEN len(ids) > 0 THEN ids ELSE [i ->> '$.sourceId'] END AS many FROM x), z AS (SELECT *, unnest(range(len(many)))::INT AS at_ FROM y)
+SELECT report, place, at_ AS "at", CASE WHEN len(many) > 1 THEN (i ->> '$.id') || '-evidence-' || (at_ + 1) ELSE i ->> '$.id' END AS id, coalesce(CASE WHEN len(urls) > 0 THEN urls[at_ + 1] WHEN at_ = 0 THEN i ->> '$.url' END, i ->> '$.url') AS url,
+  many[at_ + 1] AS source_id, coalesce(CASE WHEN len(names) > 0 THEN names[at_ + 1] END, i ->> '$.sourceName') AS source_name FROM z""")
+def _(spark, sf):
+    return legacy.expanded_items(_versions(spark, sf), "report").select("report", "place", "at", "id", "url", "source_id", "source_name")
+
+
+_AT = "try_strptime({}, '%Y-%m-%dT%H:%M:%SZ')"
+
+
+@query("normalised_items", f"""WITH {_TEXTS}, i AS (SELECT report, (e.key::BIGINT)::INT AS place, e.value AS i FROM f, LATERAL json_each(f.v, '$.items') e WHERE form = 'v2'),
+  s AS (SELECT report, e.value ->> '$.itemId' AS item, {_AT.format("(e.value ->> '$.updatedAt')")} AS u, {_AT.format("(e.value ->> '$.startedAt')")} AS st, {_AT.format("(e.value ->> '$.evidence[0].publishedAt')")} AS p FROM f, LATERAL json_each(f.v, '$.stories') e WHERE form = 'v2'),
+  k AS (SELECT i.*, s.u, coalesce(s.st, least(s.u, s.p)) AS st, {_AT.format("(i ->> '$.updatedAt')")} AS own, {_AT.format("(i ->> '$.publishedAt')")} AS pub, {_AT.format("(i ->> '$.extractedAt')")} AS ex FROM i LEFT JOIN s ON s.report = i.report AND s.item = (i.i ->> '$.id'))
+SELECT report, place, i ->> '$.id' AS id, i ->> '$.sourceId' AS source_id, coalesce(own, u, pub, ex)::TIMESTAMP AS updated_at, coalesce(st, pub, own, u, ex)::TIMESTAMP AS started_at FROM k""")
+def _(spark, sf):
+    return legacy.normalised_items(_versions(spark, sf), "report").select("report", "place", "id", "source_id", "updated_at", "started_at")
