@@ -53,6 +53,11 @@ PROMOTION = [
     "(赞助内容|商业推广|广告合作|广告链接|推广链接|优惠券|折扣码|购物导购)",
     "(立即|点击|扫码|限时|下单|购买|领取|抢购).{0,12}(优惠|折扣|购买|下单|领取|咨询|活动)",
 ]
+#: For each pattern of promotion words of which it needs one.
+PROMOTION_WORDS = [
+    ["sponsored", "advertorial"], ["赞助内容", "商业推广", "广告合作", "广告链接", "推广链接", "优惠券", "折扣码", "购物导购"],
+    ["立即", "点击", "扫码", "限时", "下单", "购买", "领取", "抢购"],
+]
 EVENT_TYPES = [
     ("policy", "(政策|监管|法规|法律|选举|government|policy|regulation|election)"),
     ("conflict", "(战争|冲突|袭击|停火|war|conflict|attack|ceasefire)"),

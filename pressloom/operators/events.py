@@ -114,10 +114,12 @@ def clusters(candidates: DataFrame) -> DataFrame:
     """
     at = [F.unix_timestamp(c) for c in ("updated_at", "published_at", "discovered_at", "extracted_at") if c in candidates.columns]
     state = F.col("summary_status") if "summary_status" in candidates.columns else F.lit(None)
-    rows = static_components(prepared(candidates)).select(
-        "component", "ord", "event_url", "title_tokens", "primary_category", F.coalesce(*at, F.lit(0)).alias("at"), F.coalesce("categories", F.array().cast("array<string>")).alias("categories"),
+    # read by the similarity join, both ends of the edges and the fold: the texts are normalised once
+    rows = durable(prepared(candidates).select(
+        "ord", "event_url", "title_tokens", "primary_category", F.coalesce(*at, F.lit(0)).alias("at"), F.coalesce("categories", F.array().cast("array<string>")).alias("categories"),
         X.normalize_text(F.col("title")).alias("title_text"), X.normalize_text(F.col("summary")).alias("summary_text"), F.length("summary").alias("summary_size"), state.cast("string").alias("summary_status"),
-    )
+    ))
+    rows = static_components(rows)
     sizes = rows.groupBy("component").agg(F.count("*").alias("members"))
     rows = rows.join(sizes, "component")
     many = rows.where("members > 1").withColumn("summary_tokens", F.array_distinct(X.tokenize(F.col("summary_text"))))

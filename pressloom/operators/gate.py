@@ -13,7 +13,10 @@ from pressloom.functions import urls as U
 
 
 def is_promotion(text: Column) -> Column:
-    return reduce(lambda a, p: a | text.rlike(p), C.PROMOTION, F.lit(False))
+    """Advertising in a text (F07); a pattern is only tried where one of the words that it needs occurs."""
+    low = F.lower(text)
+    tried = [reduce(lambda a, w: a | F.contains(low, F.lit(w)), words, F.lit(False)) & text.rlike(p) for p, words in zip(C.PROMOTION, C.PROMOTION_WORDS, strict=True)]
+    return reduce(lambda a, b: a | b, tried)
 
 
 def with_reason(candidates: DataFrame, sources: DataFrame) -> DataFrame:

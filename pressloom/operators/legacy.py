@@ -35,7 +35,7 @@ def versioned(reports: DataFrame, text: str = "text") -> DataFrame:
     lists = reduce(lambda a, p: a & (_kind(p) == "ARRAY"), V2_LISTS, F.lit(True))
     parts = reduce(lambda a, p: a & ~_kind(p).isin("", "VOID"), ("coverage", "quality"), F.lit(True))
     dated = (_kind("generatedAt") == "STRING") & _moment(F.expr("try_variant_get(v, '$.generatedAt', 'string')")).isNotNull()
-    second = (F.expr("try_variant_get(v, '$.version', 'double')") == 2) & dated & lists & parts
+    second = (_kind("version") != "STRING") & (F.expr("try_variant_get(v, '$.version', 'double')") == 2) & dated & lists & parts
     return rows.withColumn("form", F.when(F.coalesce(second, F.lit(False)), "v2").when(F.coalesce(_kind("items") == "ARRAY", F.lit(False)) & many, "v1").otherwise("none"))
 
 

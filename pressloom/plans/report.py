@@ -122,7 +122,7 @@ def curated_tiers(stories: DataFrame, now: Column) -> DataFrame:
 
 def build_report(candidates: DataFrame, sources: DataFrame, now: Column, prefs: C.Preferences | None = None) -> Report:
     """Everything a report holds."""
-    gated = gate.with_reason(candidates, sources)
+    gated = E.durable(gate.with_reason(candidates, sources))  # read by clusters, cards, evidence and quality
     accepted = gate.accepted(gated)
     labels = E.durable_labels(accepted)
     evidence, stories = story_cards(accepted, labels, sources, now, prefs or C.Preferences())
