@@ -80,11 +80,12 @@ def assemble(conv: pa.Array, role: pa.Array, text: pa.Array) -> pa.RecordBatch:
     for i, (data, start, length) in enumerate(segments):
         _scatter(out, starts[:, i], data, start, length)
 
-    ids = conv.to_numpy(zero_copy_only=False)
     valid = pc.is_valid(conv).to_numpy(zero_copy_only=False)
-    ids = np.where(valid, np.nan_to_num(ids.astype(np.float64)) if ids.dtype == np.float64 else ids, 0).astype(np.int64)
+    ids = pc.fill_null(conv, 0).to_numpy(zero_copy_only=False)  # filled first: ids with nulls would become floats
     first = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]) | (valid[1:] != valid[:-1])])
     turns = np.diff(np.r_[first, n])
+    if len(out) >= 1 << 31:
+        raise OverflowError(f"a conversation of {len(out)} formatted bytes is beyond the 2 GiB that a value can hold")
     offsets = np.r_[starts[first, 0], len(out)].astype(np.int32)
     text_array = pa.Array.from_buffers(pa.string(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(out)])
     base = np.repeat(starts[first, 0], turns)

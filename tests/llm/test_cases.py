@@ -116,3 +116,10 @@ def test_long_batches_of_conversations_are_cut():
 
     table = pa.table({"conv_id": pa.array([1, 1, 2, 3, None, None]), "role": ["user"] * 6, "text": ["x" * 10, None, "y" * 100, "z", "", "w" * 5]})
     assert list(_runs(table, 40)) == [(0, 2), (2, 3), (3, 6)]
+
+
+def test_neighbouring_large_ids_stay_apart_beside_a_null(spark):
+    big = 1 << 53
+    chats = spark.createDataFrame([(None, 0, "user", "n"), (big, 0, "user", "a"), (big + 1, 0, "user", "b"), (0, 0, "user", "z")], "conv_id long, turn long, role string, text string").coalesce(1)
+    got = {r.conv_id: [t for _, t in parse(r.formatted)] for r in format_chats(chats).collect()}
+    assert got == {None: ["n"], big: ["a"], big + 1: ["b"], 0: ["z"]}
