@@ -99,11 +99,19 @@ _LD = "regexp_extract_all(html, '(?is)<script\\b[^>]*type=[\"'']application/ld\\
 _META = f"list_filter(regexp_extract_all(html, '(?i)<meta\\b[^>]*>'), lambda t: regexp_matches(regexp_replace(coalesce(nullif({attribute_sql('t', 'property')}, ''), nullif({attribute_sql('t', 'name')}, ''), {attribute_sql('t', 'itemprop')}), '[-.]', '_', 'g'), '{{}}'))"
 _META_DATES = f"list_filter(list_transform({_META.format(C.DATE_KEYS)}, lambda t: {attribute_sql('t', 'content')}), lambda t: t <> '')"
 _TIMES = f"list_filter(flatten(list_transform(regexp_extract_all(html, '(?is)<time\\b[^>]*>.*?</time>'), lambda t: [{attribute_sql('t', 'datetime')}, {clean_sql(tag_sql('t', 'time'))}])), lambda t: t <> '')"
-_HEADER = [f"regexp_extract(html, '{p}', {i})" for p, i in ((C.HEADER_YEAR.replace("'", "''"), 1), (C.HEADER_DAY.replace("'", "''"), 1), (C.HEADER_DAY.replace("'", "''"), 2), (C.HEADER_TIME.replace("'", "''"), 1))]
-_INLINE = "list_concat(CASE WHEN {0} <> '' AND {1} <> '' AND {3} <> '' THEN [{0} || '-' || {1} || '-' || {2} || ' ' || {3}] ELSE [] END, ".format(*_HEADER) + "list_concat(" * 3 + ", ".join(
-    f"regexp_extract_all(txt, '{p.replace('(?<!' + chr(92) + 'w)', chr(92) + 'b').replace('(?!' + chr(92) + 'w)', chr(92) + 'b').replace(chr(39), chr(39) * 2)}', 1)" + (")" if i else "") for i, p in enumerate(C.INLINE_DATES)) + ")"
-_BROKEN = C.BROKEN_DATE.replace("(?<!\\w)", "\\b").replace("(?!\\w)", "\\b")
-_INLINE = f"list_concat({_INLINE}, list_transform(regexp_extract_all(txt, '{_BROKEN}'), lambda t: regexp_extract(t, '{_BROKEN}', 1) || '-' || regexp_extract(t, '{_BROKEN}', 2) || '-' || regexp_extract(t, '{_BROKEN}', 3) || ' ' || regexp_extract(t, '{_BROKEN}', 4)))"
+_HEADER = [f"regexp_extract(html, '{p}', {i})".replace("[\"']", "[\"'']").replace("[^\"']", "[^\"'']") for p, i in ((C.HEADER_YEAR, 1), (C.HEADER_DAY, 1), (C.HEADER_DAY, 2), (C.HEADER_TIME, 1))]
+
+
+def _quoted(pattern: str) -> str:
+    """A fixed pattern as DuckDB text: its word borders, and quotes doubled."""
+    return pattern.replace(r"(?<!\w)", r"\b").replace(r"(?!\w)", r"\b").replace("'", "''")
+
+
+_FOUND = [f"regexp_extract_all(txt, '{_quoted(p)}', 1)" for p in C.INLINE_DATES]
+_BROKEN = _quoted(C.BROKEN_DATE)
+_FOUND.append(f"list_transform(regexp_extract_all(txt, '{_BROKEN}'), lambda t: regexp_extract(t, '{_BROKEN}', 1) || '-' || regexp_extract(t, '{_BROKEN}', 2) || '-' || regexp_extract(t, '{_BROKEN}', 3) || ' ' || regexp_extract(t, '{_BROKEN}', 4))")
+_SPLIT = "CASE WHEN {0} <> '' AND {1} <> '' AND {3} <> '' THEN [{0} || '-' || {1} || '-' || {2} || ' ' || {3}] ELSE [] END".format(*_HEADER)
+_INLINE = f"flatten([{', '.join([_SPLIT, *_FOUND])}])"
 _JSON_DATES = """scripts AS (SELECT page_id, i, {clean} AS s FROM (SELECT page_id, unnest({ld}) AS raw, generate_subscripts({ld}, 1) AS i FROM dated)),
   tree AS (SELECT s.page_id, s.i, t.parent AS node, list_position(['datePublished', 'dateCreated', 'dateModified'], t.key) AS k, t.atom ->> '$' AS value FROM scripts s, LATERAL json_tree(s.s::JSON) t WHERE json_valid(s.s) AND t.type = 'VARCHAR' AND t.key IN ('datePublished', 'dateCreated', 'dateModified')),
   loose AS (SELECT page_id, i, 0 AS node, 0 AS k, unnest(regexp_extract_all(s, '(?i)"date(?:Published|Created|Modified)"\\s*:\\s*"([^"]+)"', 1)) AS value FROM scripts WHERE NOT json_valid(s)),
@@ -125,7 +133,7 @@ def _(spark, sf):
 _BODY = f"list_filter(list_transform(regexp_extract_all(html, '(?is)<p\\b[^>]*>(.*?)</p>', 1), lambda x: {clean_sql('x')}), lambda t: length(t) >= 40 AND NOT regexp_matches(t, '{C.BOILERPLATE}'))"
 _DESCRIPTIONS = f"list_filter(list_transform({_META.format(C.DESCRIPTION_KEYS)}, lambda t: {clean_sql(attribute_sql('t', 'content'))}), lambda t: t <> '')"
 #: Pages with a description and nested linked data made of their own first paragraph.
-DESCRIBED_HTML = f"CASE WHEN page_id % 3 > 0 THEN replace(html, '</head>', '<meta name=\"og.description\" content=\"About ' || {_TITLE} || '\"><script type=\"application/ld+json\">{{\"x\":[{{\"articleBody\":\"' || regexp_replace(regexp_extract(html, '(?s)<p>([^<]*)</p>', 1), '[\"\\\\\\\\]', '', 1) || '\",\"y\":{{\"description\":\"short\"}}}}]' || CASE WHEN page_id % 3 = 1 THEN '}}' ELSE '' END || '</script></head>') ELSE html END".replace(", '', 1)", ", '')")
+DESCRIBED_HTML = f"CASE WHEN page_id % 3 > 0 THEN replace(html, '</head>', '<meta name=\"og.description\" content=\"About ' || {_TITLE} || '\"><script type=\"application/ld+json\">{{\"x\":[{{\"articleBody\":\"' || replace(replace(regexp_extract(html, '(?s)<p>([^<]*)</p>', 1), '\"', ''), chr(92), '') || '\",\"y\":{{\"description\":\"short\"}}}}]' || CASE WHEN page_id % 3 = 1 THEN '}}' ELSE '' END || '</script></head>') ELSE html END"
 _JSON_TEXTS = """scripts AS (SELECT page_id, i, trim(raw) AS s FROM (SELECT page_id, unnest({ld}) AS raw, generate_subscripts({ld}, 1) AS i FROM dated)),
   tree AS (SELECT s.page_id, s.i, t.parent AS node, list_position(['description', 'articleBody'], t.key) AS k, {clean} AS value FROM scripts s, LATERAL json_tree(s.s::JSON) t WHERE json_valid(s.s) AND t.type = 'VARCHAR' AND t.key IN ('description', 'articleBody')),
   loose AS (SELECT page_id, i, 0 AS node, 0 AS k, {clean_x} AS value FROM (SELECT page_id, i, unnest(regexp_extract_all(s, '(?i)"(?:description|articleBody)"\\s*:\\s*"([^"]{{40,}})"', 1)) AS x FROM scripts WHERE NOT json_valid(s))),
