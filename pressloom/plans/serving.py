@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pressloom.functions import cards
 from pressloom.operators import serving as V
 from pressloom.plans.queries import query
 from pressloom.sources import tables as T
@@ -74,3 +75,18 @@ def _(spark, sf):
     evidence = e.select(u.alias("report"), F.when(i % 29 > 0, (i % 29).cast("string")).otherwise("").alias("candidate_id"))
     reports = e.groupBy("user_id").agg(F.count("*").alias("n")).select(u.alias("report"), (u % 3 == 0).alias("lists_latest"), F.when(u % 4 > 0, F.col("n")).alias("accepted"), F.when(u % 5 > 0, u % 5).alias("unmapped"))
     return V.public_summary(stories, evidence, reports, T.now())
+
+
+@query("key_facts", f"""WITH {T.ORACLE_CANDIDATES}, s AS (SELECT ord % 300 AS story, ord, trim(regexp_replace(CASE WHEN ord % 7 = 3 THEN left(summary, 60) WHEN ord % 7 = 4 THEN '  ' ELSE summary END, '{T._WS}+', ' ', 'g')) AS fact FROM cand),
+  n AS (SELECT *, {T.norm_sql('fact')} AS plain, CASE WHEN length(fact) > 180 THEN left(fact, 178) || '…' ELSE fact END AS shown FROM s WHERE fact <> ''), m AS (SELECT *, {T.norm_sql('shown')} AS kept FROM n),
+  g AS (SELECT story, list({{'shown': shown, 'plain': plain, 'kept': kept}} ORDER BY ord) AS x FROM m GROUP BY 1),
+  f AS (SELECT story, list_reduce(list_transform(x, lambda e: [e]), lambda acc, e: CASE WHEN len(acc) < 3 AND len(list_filter(acc, lambda k: starts_with(k.kept, e[1].plain) OR starts_with(e[1].plain, k.kept))) = 0 THEN list_concat(acc, e) ELSE acc END) AS kept FROM g)
+SELECT story, md5(array_to_string(list_transform(kept, lambda k: k.shown), chr(10))) AS facts, len(kept)::INT AS n FROM f""")
+def _(spark, sf):
+    c = T.candidates(spark, sf)
+    summary = F.when(F.col("ord") % 7 == 3, F.substring("summary", 1, 60)).when(F.col("ord") % 7 == 4, "  ").otherwise(F.col("summary"))
+    # equal facts of a story meet before its list is made
+    first = c.select((F.col("ord") % 300).alias("story"), "ord", summary.alias("fact")).groupBy("story", "fact").agg(F.min("ord").alias("ord"))
+    grouped = first.groupBy("story").agg(F.array_sort(F.collect_list(F.struct("ord", "fact"))).alias("x"))
+    facts = grouped.select("story", cards.key_facts(F.transform("x", lambda s: s["fact"])).alias("facts")).where(F.size("facts") > 0)
+    return facts.select("story", F.md5(F.array_join("facts", "\n")).alias("facts"), F.size("facts").alias("n"))
