@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pressloom.functions.text import let
+from pressloom.operators.graph import durable
 
 V4 = r"^(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(\.(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)){3}$"
 MAPPED = "(?i)^::ffff:"
@@ -20,6 +21,8 @@ BLOCKED = [
     "203.0.113.0/24", "224.0.0.0/4", "240.0.0.0/4", "::/128", "::1/128", "fc00::/7", "fe80::/10", "ff00::/8", "2001:db8::/32",
 ]
 PUBLIC_V6 = "2000::/3"
+#: Up to so many networks are sent to all tasks.
+FEW = 10_000
 
 
 def _v4_bits(a: Column) -> Column:
@@ -65,12 +68,16 @@ def matched(addresses: DataFrame, nets: DataFrame, address_col: str = "address")
 
     IPv4 is public outside all networks, IPv6 only inside a public network without a longer other one.
     """
-    lengths = [r["length"] for r in nets.select("length").distinct().collect()]  # at most 129
-    rows = addresses.withColumn("_id", F.monotonically_increasing_id()).withColumn("_a", address_bits(F.col(address_col)))
-    keys = rows.select("_id", F.col("_a.family").alias("family"), F.col("_a.bits").alias("bits"), F.explode(F.array(*[F.lit(n) for n in lengths])).alias("length"))
-    keys = keys.where(F.length("bits") >= F.col("length")).withColumn("prefix", F.substring("bits", F.lit(1), F.col("length")))
-    hit = keys.join(nets, ["family", "length", "prefix"]).groupBy("_id").agg(F.max(F.struct("length", "network", "public")).alias("m"))
-    out = rows.join(hit, "_id", "left")
-    family = F.col("_a.family")
+    one = durable(nets.groupBy("family", "length", "prefix").agg(F.max(F.struct("length", "network", "public")).alias("m")))  # parsed once, not in the plan of every join
+    lengths = [r["length"] for r in one.select("length").distinct().orderBy(F.desc("length")).collect()]  # at most 129
+    # an address keeps its row: a join for each length, and the longest network counts
+    rows = addresses.withColumn("_a", address_bits(F.col(address_col))).select("*", F.col("_a.family").alias("_family"), F.col("_a.bits").alias("_bits")).drop("_a")
+    if one.count() <= FEW:
+        one = F.broadcast(one)
+    for n in lengths:
+        at = one.where(F.col("length") == n).select(F.col("family").alias("_f"), F.col("prefix").alias("_p"), F.col("m").alias(f"_m{n}"))
+        rows = rows.join(at, (F.col("_family") == F.col("_f")) & (F.substring("_bits", 1, n) == F.col("_p")) & (F.length("_bits") >= n), "left").drop("_f", "_p")
+    out = rows.withColumn("m", F.coalesce(*[F.col(f"_m{n}") for n in lengths], F.lit(None)))
+    family = F.col("_family")
     public = F.when(family == 4, F.col("m").isNull() | F.col("m.public")).when(family == 6, F.coalesce(F.col("m.public"), F.lit(False))).otherwise(False)
     return out.select(*addresses.columns, family.alias("family"), F.col("m.network").alias("network"), public.alias("public"))

@@ -6,6 +6,7 @@ import random
 
 from pressloom.operators import events as E
 from pressloom.operators import graph as G
+from pressloom.operators import network
 from tests.test_rules import SCHEMA, article, fold_by_hand
 
 
@@ -38,3 +39,9 @@ def test_a_shown_summary_of_another_title_takes_a_row_from_outside(spark):
     ]
     got = {r.ord: (r.cluster, r.voice) for r in E.clusters(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == fold_by_hand(rows) == {1: (1, 2), 2: (1, 2), 3: (1, 2)}
+
+
+def test_addresses_stay_in_their_rows(spark):
+    rows = spark.range(2000).selectExpr("concat(id % 256, '.', id % 199, '.1.2') AS address")
+    plan = network.matched(rows, network.networks(spark))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "monotonically_increasing_id" not in plan
