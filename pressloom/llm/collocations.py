@@ -36,6 +36,7 @@ from pressloom.llm.columns import LOWER, ORDER_CODES, Prefix, flat, mix, slices,
 from pressloom.llm.durable import durable, lean, release
 
 BLOCK_BYTES = 8 << 20
+PIECE = 1 << 16  # phrases in one batch that a block hands on
 FILTER_BITS = 1 << 28
 SEGMENT = 1 << 20  # bytes of the filter in one row
 COUNTED = "lang string, phrase string, n long"
@@ -119,8 +120,8 @@ class Lists:
         old, word = key[fresh] // max(1, len(p.words)), key[fresh] % max(1, len(p.words))
         return Lists(np.column_stack([self.words[old], word.astype(np.int32)]), np.cumsum(fresh, dtype=np.int32) - 1, at, self.sums[old] + p.hash[word] * ORDER_CODES[size])
 
-    def texts(self, p: Postings) -> pa.Array:
-        parts = [p.words.take(pa.array(self.words[:, j])) for j in range(self.words.shape[1])]
+    def texts(self, p: Postings, a: int = 0, b: int | None = None) -> pa.Array:
+        parts = [p.words.take(pa.array(self.words[a:b, j])) for j in range(self.words.shape[1])]
         return pc.binary_join_element_wise(*parts, pa.scalar(" ", pa.large_string())) if len(parts) > 1 else parts[0]
 
 
@@ -132,14 +133,19 @@ def holds(filter_bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 def _counted(size: int, filters: list):
     """(lang, phrase, n) of the phrases of a size in every block; size 1 adds the number of all words with a null phrase."""
 
-    def block(lang: str, texts: pa.Array) -> pa.RecordBatch:
+    def block(lang: str, texts: pa.Array) -> Iterator[pa.RecordBatch]:
         p = Postings(texts)
         lists = Lists.of_words(p)
         for sent in filters:
             lists = lists.kept(sent.value).extended(p)
-        phrase, n = lists.texts(p).cast(pa.string()), lists.lengths()
+        # written out piece by piece: neither side holds all phrases of a block as text
+        n = lists.lengths()
+        for a in range(0, len(n), PIECE):
+            yield counted(lang, lists.texts(p, a, a + PIECE).cast(pa.string()), n[a : a + PIECE])
         if size == 1:
-            phrase, n = pa.concat_arrays([phrase, pa.array([None], pa.string())]), np.r_[n, len(p.word)]
+            yield counted(lang, pa.array([None], pa.string()), np.array([len(p.word)]))
+
+    def counted(lang: str, phrase: pa.Array, n: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), phrase, pa.array(n, pa.int64())], names=["lang", "phrase", "n"])
 
     def flush(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,10 +153,12 @@ def _counted(size: int, filters: list):
         langs = pc.dictionary_encode(table["lang"].combine_chunks())
         code = langs.indices.to_numpy()
         texts = table["text"].combine_chunks()
+        del table
+        held.clear()
         for i, lang in enumerate(langs.dictionary.to_pylist()):
             own = texts.take(pa.array(np.flatnonzero(code == i)))
             for a, b in slices(own, BLOCK_BYTES):
-                yield block(lang, own.slice(a, b - a))
+                yield from block(lang, own.slice(a, b - a))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, taken = [], 0

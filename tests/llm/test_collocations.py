@@ -6,6 +6,7 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pressloom.llm import collocations as K
 from pressloom.llm.collocations import collocations
@@ -69,3 +70,10 @@ def test_small_blocks_and_a_full_filter_change_nothing(spark, monkeypatch):
 
 def test_nothing_frequent_gives_nothing(spark):
     assert collocations(table(spark, [])).count() == collocations(table(spark, [("a b", "en"), (None, None)])).count() == 0
+
+
+def test_a_block_hands_its_phrases_on_in_pieces():
+    text = " ".join(f"w{i}" for i in range(3 * K.PIECE // 2))
+    batch = pa.RecordBatch.from_arrays([pa.array(["en"]), pa.array([text])], names=["lang", "text"])
+    sizes = [b.num_rows for b in K._counted(1, [])(iter([batch]))]
+    assert max(sizes) <= K.PIECE and sum(sizes) == 3 * K.PIECE // 2 + 1
