@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -23,6 +24,14 @@ def _any(text: Column, words) -> Column:
     return reduce(lambda a, w: a | F.contains(text, F.lit(w)), words, F.lit(False))
 
 
+def _found(text: Column, pattern: str) -> Column:
+    """text.rlike of a pattern that lists plain words, "(a|b|c)": searched as bytes, without trying every word at every character."""
+    words = pattern.removeprefix("(").removesuffix(")").split("|")
+    if not (pattern.startswith("(") and pattern.endswith(")")) or any(not w or re.search(r"[^\w ]", w) for w in words):
+        return text.rlike(pattern)
+    return _any(text, words)
+
+
 def public_importance(categories: Column, text: Column, n_sources: Column) -> Column:
     base = F.aggregate(categories, F.lit(50), lambda a, c: F.greatest(a, _lookup(C.CATEGORY_IMPORTANCE, c, 50)))
     return clamp(base + F.when(_any(text, C.HIGH_IMPACT), 12).otherwise(0) + F.least(F.lit(12), 6 * (n_sources - 1)))
@@ -75,17 +84,17 @@ def trust_level(score: Column) -> Column:
 def event_type(text: Column, beat: Column) -> Column:
     out = _lookup(C.BEAT_EVENT_TYPES, beat, "general")
     for name, pattern in reversed(C.EVENT_TYPES):
-        out = F.when(text.rlike(pattern), name).otherwise(out)
+        out = F.when(_found(text, pattern), name).otherwise(out)
     return out
 
 
 def public_impact(text: Column, beat: Column, kind: Column) -> Column:
     score = _lookup(C.BEAT_IMPACT, beat, 0)
     for boost, pattern in C.IMPACT_BOOSTS:
-        score = score + F.when(text.rlike(pattern), boost).otherwise(0)
-    score = score + _lookup(C.EVENT_BOOSTS, kind, 0) - F.when(text.rlike(C.OPINION), 15).otherwise(0)
-    score = score - F.when(text.rlike(C.LOCAL) & (kind != "disaster"), 8).otherwise(0)
-    return clamp(score - F.when((beat == "sports") & ~text.rlike(C.SPORT_PEAK), 8).otherwise(0))
+        score = score + F.when(_found(text, pattern), boost).otherwise(0)
+    score = score + _lookup(C.EVENT_BOOSTS, kind, 0) - F.when(_found(text, C.OPINION), 15).otherwise(0)
+    score = score - F.when(_found(text, C.LOCAL) & (kind != "disaster"), 8).otherwise(0)
+    return clamp(score - F.when((beat == "sports") & ~_found(text, C.SPORT_PEAK), 8).otherwise(0))
 
 
 def total_importance(impact: Column, time: Column) -> Column:

@@ -6,6 +6,7 @@ import datetime as dt
 import random
 
 from pressloom import config as C
+from pressloom.functions import scoring as S
 from pressloom.functions import text as X
 from pressloom.functions import urls as U
 from pressloom.functions import html as H
@@ -151,3 +152,12 @@ def test_references_of_any_number_are_decoded(spark):
     text = "".join(f"&#{i};" for i in range(200, 400)) + "&#x110000; &#12; &amp;"
     got = spark.createDataFrame([(text,)], "t string").select(H.decode(F.col("t")).alias("t")).first().t
     assert got == "".join(map(chr, range(200, 400))) + "\0 \f &"  # numbers name 16-bit units
+
+
+def test_lists_of_plain_words_are_searched_as_bytes(spark):
+    texts = spark.createDataFrame([("a takes effect b",), ("战争",), ("warm",), ("nothing",), ("",), (None,)], "t string")
+    for pattern in [C.OPINION, C.LOCAL, C.SPORT_PEAK, *(p for _, p in C.EVENT_TYPES), *(p for _, p in C.IMPACT_BOOSTS)]:
+        found = S._found(F.col("t"), pattern)
+        assert "RLIKE" not in str(found).upper()
+        assert texts.where(~found.eqNullSafe(F.col("t").rlike(pattern))).count() == 0
+    assert "RLIKE" in str(S._found(F.col("t"), "(a.c|b)")).upper()
