@@ -124,7 +124,7 @@ def build_report(candidates: DataFrame, sources: DataFrame, now: Column, prefs:
     """Everything a report holds."""
     gated = E.durable(gate.with_reason(candidates, sources))  # read by clusters, cards, evidence and quality
     accepted = gate.accepted(gated)
-    labels = E.durable_labels(accepted)
+    labels = E.clusters(accepted)
     evidence, stories = story_cards(accepted, labels, sources, now, prefs or C.Preferences())
     stories = E.durable(stories)
     return Report(accepted, gated, evidence, stories, curated_tiers(stories, now))
