@@ -122,11 +122,13 @@ def curated_tiers(stories: DataFrame, now: Column) -> DataFrame:
 
 def build_report(candidates: DataFrame, sources: DataFrame, now: Column, prefs: C.Preferences | None = None) -> Report:
     """Everything a report holds."""
-    gated = E.durable(gate.with_reason(candidates, sources))  # read by clusters, cards, evidence and quality
+    # both hold texts, which as compressed columns take a fraction of a checkpoint
+    gated, _ = E.stored(gate.with_reason(candidates, sources))  # read by clusters, cards, evidence and quality
     accepted = gate.accepted(gated)
     labels = E.clusters(accepted)
     evidence, stories = story_cards(accepted, labels, sources, now, prefs or C.Preferences())
-    stories = E.durable(stories)
+    stories, _ = E.stored(stories)
+    E.release(candidates.sparkSession)
     return Report(accepted, gated, evidence, stories, curated_tiers(stories, now))
 
 
